@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tablewright.llm import decontaminate
+from tablewright.llm import decontaminate, html_text, langid, quality
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op6_quality": quality.op6_quality,
+    "op8_langid": langid.op8_langid,
+    "op9_html": html_text.op9_html,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
