@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tablewright.llm import decontaminate, html_text, langid, quality
+from tablewright.llm import ann, decontaminate, html_text, langid, licences, mixing, quality, sentence_spans
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_mixing": mixing.op3_mixing,
+    "op5_licences": licences.op5_licences,
     "op6_quality": quality.op6_quality,
     "op8_langid": langid.op8_langid,
     "op9_html": html_text.op9_html,
+    "op10_sentence_spans": sentence_spans.op10_sentence_spans,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op10_sentence_spans": sentence_spans.OP10_SQL,
 }
