@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import ann, decontaminate, html_text, langid, licences, mixing, quality, sentence_spans
+from tablewright.llm import ann, decontaminate, html_text, jaccard_join, langid, licences, mixing, quality, sentence_spans
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_licences": licences.op5_licences,
     "op6_quality": quality.op6_quality,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_langid": langid.op8_langid,
     "op9_html": html_text.op9_html,
     "op10_sentence_spans": sentence_spans.op10_sentence_spans,
