@@ -71,7 +71,7 @@ def _flush(held: list[np.ndarray], buckets: int, turn: int) -> pa.RecordBatch:
     edge = np.searchsorted(to, np.arange(buckets + 1))
     rows = [(b, 0, fresh[edge[b]: edge[b + 1]]) for b in range(buckets) if edge[b + 1] > edge[b]]
     if len(known):
-        rows.append(((turn * 7919 + int(known["h1"][0] % np.uint64(buckets))) % buckets, 1, known))
+        rows.append(((int(known["doc"][len(known) // 2]) * 2_654_435_761 + turn) % buckets, 1, known))
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[2]) for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
         ["bucket", "kind", "n", "data"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tablewright.llm import ann, decontaminate, html_text, jaccard_join, langid, licences, mixing, quality, sentence_spans
+from tablewright.llm import ann, decontaminate, html_text, jaccard_join, langid, licences, mixing, quality, repeated_bytes, sentence_spans
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mixing": mixing.op3_mixing,
+    "op4_repeated_bytes": repeated_bytes.op4_repeated_bytes,
     "op5_licences": licences.op5_licences,
     "op6_quality": quality.op6_quality,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
