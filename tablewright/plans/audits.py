@@ -62,7 +62,10 @@ def recognised_pages(spark, sf):
 
 
 def _audited(spark, sf):
-    tables = extract_tables(recognised_pages(spark, sf), ["doc", "page"])
+    # One shuffle by document: windows, batches and joins below all go by it. The
+    # tables feed the rows, the columns and both joins, and are parsed once.
+    pages = recognised_pages(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
+    tables = extract_tables(pages, ["doc", "page"]).persist()
     columns, rows = source_columns(tables), source_rows(tables)
     shaped = reshape(rows, columns, TEMPLATE, SeededReshaper())
     return audit(rows, shaped, TEMPLATE, columns)
