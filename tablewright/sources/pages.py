@@ -14,6 +14,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from tablewright.config import Settings
@@ -72,7 +73,7 @@ def read_pages(documents: DataFrame, reader: PageReader, *, data: str = "data",
     ``asked`` that exist, else the first ones.
     """
     keep = [c for c in documents.columns if c != data]
-    counted = documents.mapInArrow(_counter(reader, keep, data), documents.select(*keep, data).schema.add("page_count", "int"))
+    counted = documents.mapInArrow(_counter(reader, keep, data), documents.select(*keep, data).schema.add("page_count", IntegerType()))
     wanted = F.col(asked) if asked else F.lit(None).cast("array<bigint>")
     chosen = counted.withColumn("__pages", selected_pages(F.col("page_count"), wanted, settings)).where(F.size("__pages") > 0)
 
@@ -88,7 +89,6 @@ def read_pages(documents: DataFrame, reader: PageReader, *, data: str = "data",
                         rows[c].append(page[c])
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([*[batch.schema.field(c) for c in keep], ("page", pa.int32()), ("page_count", pa.int32()), ("text", pa.string()), ("width", pa.float64()), ("height", pa.float64()), ("boxes", pa.list_(pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")]))), ("png", pa.binary())]))
 
-    from pyspark.sql.types import StructType
     schema = StructType([*documents.select(*keep).schema.fields, *StructType.fromDDL(PAGES).fields])
     return chosen.select(*keep, data, "page_count", "__pages").mapInArrow(run, schema)
 
@@ -105,7 +105,8 @@ def _counter(reader: PageReader, keep: list[str], data: str):
 class PageSource(DataSource):
     """spark.read.format("pages").option("files", json list of paths): a row for each page.
 
-    A filter on ``page`` reaches the reader: other pages are not rendered.
+    A filter on ``page`` reaches the reader: other pages are not rendered. That
+    needs the session's spark.sql.python.filterPushdown.enabled.
     """
 
     @classmethod

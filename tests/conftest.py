@@ -4,7 +4,11 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TESTS = os.path.dirname(os.path.abspath(__file__))
+PATHS = [os.path.dirname(TESTS), TESTS, os.path.join(TESTS, "llm")]
+sys.path[:0] = PATHS
+# Python workers import the package, and classes that tests define, too.
+os.environ["PYTHONPATH"] = os.pathsep.join([*PATHS, os.environ.get("PYTHONPATH", "")])
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 
 
