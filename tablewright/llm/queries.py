@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op4_repeated_bytes": repeated_bytes.OP4_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op10_sentence_spans": sentence_spans.OP10_SQL,
 }
