@@ -58,6 +58,18 @@ def issue_counts(issues: DataFrame, documents: DataFrame, *, doc: str = "doc") -
     return documents.select(doc).distinct().join(per, doc, "left").select(doc, F.coalesce(F.nullif(F.array_join(said, "・"), F.lit("")), F.lit("なし")).alias("summary"))
 
 
+def progress_lines(pages: DataFrame, batches: DataFrame, *, doc: str = "doc") -> DataFrame:
+    """(doc, seq, line): a line for each page read and for each batch shaped, in order.
+
+    ``pages`` has doc, page, tables and rows, ``batches`` doc, batch (from 0) and rows.
+    """
+    from pyspark.sql import Window
+    read = pages.select(doc, F.col("page").cast("long").alias("seq"), F.concat(F.lit("- page "), F.col("page").cast("string"), F.lit(": "), F.col("tables").cast("string"), F.lit(" tables, about "), F.col("rows").cast("string"), F.lit(" rows")).alias("line"))
+    total = F.count("*").over(Window.partitionBy(doc))
+    shaped = batches.select(doc, (F.col("batch") + 1_000_000).cast("long").alias("seq"), F.concat(F.lit("- batch "), (F.col("batch") + 1).cast("string"), F.lit("/"), total.cast("string"), F.lit(": "), F.col("rows").cast("string"), F.lit(" rows")).alias("line"))
+    return read.unionByName(shaped)
+
+
 def usage_totals(events: DataFrame, *, key: str = "doc", usage: str = "usage") -> DataFrame:
     """(key, prompt_tokens, completion_tokens, total_tokens): sums of the three counters."""
     names = ("prompt_tokens", "completion_tokens", "total_tokens")

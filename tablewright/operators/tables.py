@@ -80,3 +80,15 @@ def sheet_names(tables: DataFrame, keys: list[str], page: str = "page", prefix:
 def row_estimate(tables: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tables, rows): tables of each page, and their rows but for one each."""
     return tables.groupBy(*keys).agg(F.count("*").alias("tables"), F.sum(F.greatest(F.size("rows") - 1, F.lit(0))).alias("rows"))
+
+
+def sheet_titles(names: DataFrame, keys: list[str], name: str, order: str) -> DataFrame:
+    """Adds ``title``: names as spreadsheets allow them, numbered where they would repeat.
+
+    Numbers go up in order within keys, as long as no name is itself a numbered
+    one (``sinks.xlsx.sheet_title`` settles that for one workbook).
+    """
+    from pyspark.sql import Window
+    base = F.coalesce(F.nullif(F.substring(F.translate(name, "[]:*?/\\", "_______"), 1, 28), F.lit("")), F.lit("Sheet"))
+    k = F.row_number().over(Window.partitionBy(*keys, "__base").orderBy(order))
+    return names.withColumn("__base", base).withColumn("title", F.when(k > 1, F.concat("__base", F.lit("_"), k.cast("string"))).otherwise(F.col("__base"))).drop("__base")

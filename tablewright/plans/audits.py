@@ -14,9 +14,9 @@ from tablewright.config import NOTES
 from tablewright.operators import report
 from tablewright.operators.audit import audit, issue_rows, template_rows
 from tablewright.operators.cache import newest
-from tablewright.operators.merge import source_columns, source_rows
+from tablewright.operators.merge import batch_of, source_columns, source_rows
 from tablewright.operators.reshape import RuleReshaper, last_answers, parse_answer, reshape
-from tablewright.operators.tables import extract_tables
+from tablewright.operators.tables import extract_tables, row_estimate
 from tablewright.plans.inputs import joined, pad, table, text
 from tablewright.sinks.exports import expired, may_download
 from tablewright.sinks.xlsx import XlsxSink, read_values
@@ -176,6 +176,19 @@ def answers(spark, sf):
 _ANSWERS_SQL = "SELECT l_orderkey AS doc, CAST(l_linenumber % 2 AS BIGINT) AS src, 'n' || max(l_linenumber) AS number FROM lineitem WHERE l_linenumber % 4 <> 0 GROUP BY 1, 2"
 
 
+def progress(spark, sf):
+    tables = extract_tables(recognised_pages(spark, sf), ["doc", "page"]).persist()
+    rows = source_rows(tables)
+    batches = rows.groupBy("doc", batch_of(F.col("idx"), 15).alias("batch")).agg(F.count("*").alias("rows"))
+    return report.progress_lines(row_estimate(tables, ["doc", "page"]), batches)
+
+
+_PROGRESS_SQL = _ROWS + """
+SELECT doc, page AS seq, '- page ' || page || ': 1 tables, about ' || count(*) || ' rows' AS line FROM r GROUP BY doc, page
+UNION ALL SELECT doc, 1000000 + b, '- batch ' || (b + 1) || '/' || count(*) OVER (PARTITION BY doc) || ': ' || c || ' rows' FROM (SELECT doc, (n - 1) // 15 AS b, count(*) AS c FROM r GROUP BY 1, 2)
+"""
+
+
 def usage_totals(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.struct((F.col("event_id") % 7).alias("prompt_tokens"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 5).alias("completion_tokens"), F.lit(3).cast("long").alias("total_tokens")).alias("usage"))
     return report.usage_totals(e)
@@ -282,5 +295,5 @@ ALL = {
     "format_flagship": (format_flagship, _FLAGSHIP_SQL), "audit_issues": (audit_issues, _ISSUES_SQL), "issue_counts": (issue_counts, _COUNTS_SQL), "result_markdown": (result_markdown, _RESULT_SQL),
     "issue_list": (issue_list, _LIST_SQL), "template_rows": (spread_rows, _SPREAD_SQL), "rule_reshape": (rule_reshape, _RULE_SQL), "service_answers": (answers, _ANSWERS_SQL), "usage_totals": (usage_totals, _USAGE_SQL),
     "stream_lines": (stream_lines, _LINES_SQL), "stream_cut": (stream_cut, None), "stream_answer": (stream_answer, _STREAM_SQL), "full_answer": (full_answer, _FULL_SQL), "downloads": (downloads, _DOWNLOAD_SQL),
-    "newest_entries": (newest_entries, _NEWEST_SQL), "xlsx_roundtrip": (xlsx_roundtrip, _XLSX_SQL),
+    "progress_lines": (progress, _PROGRESS_SQL), "newest_entries": (newest_entries, _NEWEST_SQL), "xlsx_roundtrip": (xlsx_roundtrip, _XLSX_SQL),
 }

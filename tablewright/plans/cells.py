@@ -9,7 +9,7 @@ from tablewright.functions import values as vl
 from tablewright.functions.cells import parse_table, table_grid
 from tablewright.operators.headers import classify_columns, infer_headers, label_columns, long_grid, looks_like_header
 from tablewright.operators.merge import batch_of, row_text, source_columns, source_rows
-from tablewright.operators.tables import add_headers, convert_tables, extract_tables, row_estimate, sheet_names, table_markdown
+from tablewright.operators.tables import add_headers, convert_tables, extract_tables, row_estimate, sheet_names, sheet_titles, table_markdown
 from tablewright.plans.inputs import joined, pad, table, text
 
 
@@ -250,10 +250,37 @@ SELECT doc, CASE WHEN p0 THEN '番号,列2' || CASE WHEN p1 THEN ',状態' ELSE
 FROM (SELECT o_custkey AS doc, bool_or(o_orderkey % 3 = 0) AS p0, bool_or(o_orderkey % 3 = 1) AS p1, bool_or(o_orderkey % 3 = 2) AS p2 FROM orders GROUP BY 1)
 """
 
+def titles(spark, sf):
+    """Sheet titles of parts, by brand: long, blank and clashing names."""
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, text("a/b*", k % 5)).when(k % 3 == 1, text("")).otherwise(text("a very long name of a sheet, cut ", k))
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", name.alias("name"))
+    return sheet_titles(p, ["p_brand"], "name", "p_partkey").select("p_partkey", "title")
+
+
+_TITLES_SQL = """
+WITH b AS (SELECT p_partkey, p_brand, CASE p_partkey % 3 WHEN 0 THEN 'a_b_' || (p_partkey % 5) WHEN 1 THEN 'Sheet' ELSE 'a very long name of a sheet,' END AS base FROM part)
+SELECT p_partkey, base || CASE WHEN row_number() OVER w > 1 THEN '_' || row_number() OVER w ELSE '' END AS title FROM b WINDOW w AS (PARTITION BY p_brand, base ORDER BY p_partkey)
+"""
+
+
+def sql_functions(spark, sf):
+    """The functions under their SQL names, the table function too."""
+    from tablewright.functions.register import register
+    register(spark)
+    _region_html(spark, sf).createOrReplaceTempView("region_html")
+    return spark.sql("SELECT doc, table_no, r, c, nfkc(value) AS value FROM region_html, LATERAL html_cells(text) WHERE c = 1")
+
+
+_SQL_SQL = """
+WITH n AS (SELECT n_regionkey AS doc, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)
+SELECT DISTINCT doc, 0 AS table_no, 0 AS r, 1 AS c, 'N < K' AS value FROM n UNION ALL SELECT doc, 0, r, 1, n_name FROM n
+"""
+
 ALL = {
     "loop_detect": (loop_detect, _LOOP_SQL), "loop_start": (loop_start, _START_SQL), "wide_text": (wide_text, _WIDE_SQL), "canonical": (canonical, _CANON_SQL), "tidy_values": (tidy_values, _TIDY_SQL),
     "split_dates": (split_dates, _SPLIT_SQL), "typed_values": (typed_values, _TYPED_SQL), "missing_chars": (missing_chars, _MISSING_SQL), "html_grid": (html_grid, _GRID_SQL),
     "span_blocks": (span_blocks, _SPANS_SQL), "table_markdown": (table_text, _MD_SQL), "convert_tables": (convert_text, _CONVERT_SQL), "row_estimate": (estimates, _ESTIMATE_SQL),
     "classify_columns": (column_types, _TYPES_SQL), "infer_headers": (inferred_headers, _INFER_SQL), "add_headers": (add_header_rows, _ADD_SQL), "merge_pages": (merge_pages, _MERGE_SQL),
-    "source_columns": (merged_columns, _COLUMNS_SQL),
+    "source_columns": (merged_columns, _COLUMNS_SQL), "sheet_titles": (titles, _TITLES_SQL), "sql_functions": (sql_functions, _SQL_SQL),
 }

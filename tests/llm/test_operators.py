@@ -210,9 +210,10 @@ def test_run_length_index():
     assert (reach >= -1).all() and low.shape[0] == 60
 
 
-@pytest.mark.parametrize("piece", [1_000_000, 500])
-def test_repeated_bytes(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece, hot", [(1_000_000, 20), (500, 20), (1_000_000, 3), (500, 1)])
+def test_repeated_bytes(spark, monkeypatch, piece, hot):
     monkeypatch.setattr(repeated_bytes, "PIECE", piece)
+    monkeypatch.setattr(repeated_bytes, "HOT_LEAST", hot)
     rng = np.random.default_rng(4)
 
     def noise(n):
