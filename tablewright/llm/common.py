@@ -7,6 +7,8 @@ whatever the length of a text or a batch.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,15 +24,22 @@ SLICE_BYTES = 2_000_000
 
 # ------------------------------------------------------------------ storage
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    A folder of our own is used only where the session names none, as in tests.
+    A folder of our own is used only where the session names none, as in tests:
+    one for each application, deleted when the process ends.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set("spark.checkpoint.dir", there)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="tablewright-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        there = f"file://{_OWN[app]}"
     return there.rstrip("/")
 
 
@@ -83,10 +92,6 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def binary_array(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 # ------------------------------------------------------------------ hashing
 
 _R = np.uint64(0x9E3779B97F4A7C15)

@@ -41,7 +41,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "own")
+    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
@@ -150,9 +150,9 @@ def _measure(root: Node) -> None:
         lc, lt = node.link_chars, max(1, node.link_tags)
         plain = max(1, c - lc)
         # Characters per tag, weighed by a logarithm whose base grows with the share of links.
-        base = math.log(c / plain * lc + body_links / body_chars * c + math.e)
-        weight = math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else math.log(max(1.0, c / max(1, lc) * t / lt))
-        node.density = c / t * max(weight, 0.0) if c else 0.0
+        base = max(math.log(c / plain * lc + body_links / body_chars * c + math.e), 1.0 + 1e-9)
+        weight = math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(base)
+        node.density = c / t * weight if c else 0.0
         node.total = sum(child.density for child in node.children if isinstance(child, Node) and not child.cut)
 
 

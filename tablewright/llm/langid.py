@@ -27,12 +27,12 @@ ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 
 
-def _is_word_table() -> np.ndarray:
+def _letter_table() -> np.ndarray:
     """For each code point of the basic plane, whether it is a letter."""
     return np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
 
 
-_LETTER = _is_word_table()
+_LETTER = _letter_table()
 _SLOTS = 1 << BITS
 
 
@@ -174,8 +174,7 @@ def identify_language(documents: DataFrame, training: DataFrame, *, id_col: str
     learnt from. Document frequencies count all its rows; weights are fitted on
     at most about ``sample_rows`` whole texts of each language, taken by a hash
     of their id. A null text, a text without letters, and every text if nothing
-    could be learnt, get ``und`` and
-    score 0. Repeated rows are judged alike, and texts of any length whole.
+    could be learnt, get ``und`` and score 0. Repeated rows are judged alike, and texts of any length whole.
     """
     spark = documents.sparkSession
     usable = training.select(F.xxhash64(F.col(id_col), F.lit(8)).alias("u"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
