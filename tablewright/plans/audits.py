@@ -86,7 +86,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, k) AS n, coal
 _FLAGSHIP_SQL = _ROWS + """
 SELECT doc, n, '日付,番号,郵便番号,電話番号' || CASE WHEN noted THEN ',備考' ELSE '' END AS columns,
   md || CASE WHEN raw AND code THEN 'K' ELSE '' END || '|' || CASE WHEN letter THEN 'B' ELSE 'A' END || k || '|' || left(p, 3) || '-' || CASE WHEN cut THEN substr(p, 4, 3) ELSE right(p, 4) END || '|' || tel || CASE WHEN noted THEN '|' || CASE WHEN code AND NOT raw THEN 'K' ELSE '' END ELSE '' END AS row,
-  CASE WHEN raw THEN 1 + CASE WHEN code THEN 1 ELSE 0 END WHEN letter OR cut THEN 2 ELSE 0 END AS n_issues FROM r
+  CAST(CASE WHEN raw THEN 1 + CASE WHEN code THEN 1 ELSE 0 END WHEN letter OR cut THEN 2 ELSE 0 END AS BIGINT) AS n_issues FROM r
 """
 
 
@@ -95,7 +95,7 @@ def audit_issues(spark, sf):
 
 
 _ISSUES = """
-i AS (SELECT doc, n, 0 AS seq, '日付' AS "column", '未整形' AS kind FROM r WHERE raw UNION ALL SELECT doc, n, 1, '日付', '要確認' FROM r WHERE raw AND code
+i AS (SELECT doc, n, CAST(0 AS BIGINT) AS seq, '日付' AS "column", '未整形' AS kind FROM r WHERE raw UNION ALL SELECT doc, n, 1, '日付', '要確認' FROM r WHERE raw AND code
   UNION ALL SELECT doc, n, 0, '番号', '補正' FROM r WHERE letter UNION ALL SELECT doc, n, 0, '郵便番号', '要確認' FROM r WHERE cut
   UNION ALL SELECT doc, n, 1, CASE WHEN noted THEN '備考' ELSE '電話番号' END, '欠落の可能性' FROM r WHERE letter OR cut)
 """

@@ -16,7 +16,7 @@ from tablewright.plans.inputs import joined, pad, table, text
 # ------------------------------------------------------------------ values
 
 def loop_detect(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.trailing_loop(F.col("text")).alias("unit"))
+    return table(spark, sf, "documents").select("doc_id", tx.trailing_loop(F.col("text")).cast("long").alias("unit"))
 
 
 _LOOP = "(k * greatest(10, CAST(ceil(300.0 / k) AS BIGINT)))"
@@ -24,7 +24,7 @@ _LOOP_SQL = f"SELECT doc_id, list_filter(range(1, 61), lambda k: length(t) >= {_
 
 
 def loop_start(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.loop_start("text").alias("start"))
+    return table(spark, sf, "documents").select("doc_id", tx.loop_start("text").cast("long").alias("start"))
 
 
 _START_SQL = f"""
@@ -169,7 +169,7 @@ def estimates(spark, sf):
     return t.groupBy("doc").agg(F.max("sheet").alias("sheet")).join(row_estimate(t.where("rows is not null"), ["doc"]), "doc")
 
 
-_ESTIMATE_SQL = "SELECT n_regionkey AS doc, 'Page' || n_regionkey || '_2' AS sheet, 1 AS tables, count(*) AS rows FROM nation GROUP BY 1"
+_ESTIMATE_SQL = "SELECT n_regionkey AS doc, 'Page' || n_regionkey || '_2' AS sheet, CAST(1 AS BIGINT) AS tables, count(*) AS rows FROM nation GROUP BY 1"
 
 
 def _ledger(spark, sf):
@@ -212,7 +212,7 @@ def add_header_rows(spark, sf):
     return t.select("doc", "inferred", F.size("grid").cast("long").alias("rows"), F.size(F.filter(F.flatten("rows"), lambda c: c["header"])).cast("long").alias("heads"))
 
 
-_ADD_SQL = f"SELECT doc, n >= 2 AS inferred, n + CASE WHEN n >= 2 THEN 1 ELSE 0 END AS rows, 8 AS heads FROM {_G} g"
+_ADD_SQL = f"SELECT doc, n >= 2 AS inferred, n + CASE WHEN n >= 2 THEN 1 ELSE 0 END AS rows, CAST(8 AS BIGINT) AS heads FROM {_G} g"
 
 
 def _order_pages(spark, sf):
@@ -269,7 +269,7 @@ def sql_functions(spark, sf):
     from tablewright.functions.register import register
     register(spark)
     _region_html(spark, sf).createOrReplaceTempView("region_html")
-    return spark.sql("SELECT doc, table_no, r, c, nfkc(value) AS value FROM region_html, LATERAL html_cells(text) WHERE c = 1")
+    return spark.sql("SELECT doc, table_no, CAST(r AS BIGINT) AS r, c, nfkc(value) AS value FROM region_html, LATERAL html_cells(text) WHERE c = 1")
 
 
 _SQL_SQL = """
