@@ -58,7 +58,9 @@ def test_components(spark):
 
 # ------------------------------------------------------------------ 1
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("group", [4000, 7])
+def test_nearest_neighbours(spark, monkeypatch, group):
+    monkeypatch.setattr(ann, "GROUP", group)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(600, 16)), rng.normal(size=(5, 16)).repeat(120, 0) + 0.05 * rng.normal(size=(600, 16))])
     x[50] = x[100] = x[101] = x[102]
