@@ -85,6 +85,21 @@ def test_nearest_neighbours(spark, monkeypatch, group):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest_neighbours(few, few).collect()) == [(0, 1, 1), (0, 2, 2), (1, 1, 0), (1, 2, 2), (2, 1, 0), (2, 2, 1)]
 
 
+def test_recall_with_many_lists(spark):
+    """1,500 lists: 64 of them hold too few of the true neighbours."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 64)).astype(np.float32).astype(float)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    got = ann.nearest_neighbours(df, df.where("vec_id % 50 = 0"), list_size=8).toPandas()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(x), 50):
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
+    assert hits / (5 * len(range(0, len(x), 50))) >= 0.9
+
+
 def test_recall_on_the_table(spark):
     e = load(spark, SF, "embeddings").toPandas().sort_values("vec_id")
     x = np.stack(e.embedding).astype(float)
