@@ -191,6 +191,17 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix_sources(edges(spark)).count() == len(EDGES) and mixing.mix_sources(none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_mixing_fills_behind_long_documents(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "FEW", 20)
+    rng = np.random.default_rng(1)
+    rows = [(i, "w " * int(rng.integers(1, 60)), "en", "a", 0) for i in range(1500)] + [(2000, "w " * 40_000, "en", "a", 0)]
+    rows += [(3000 + i, "w " * 3000, "en", "a", 0) for i in range(5)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOC), seed=seed).toPandas()
+    assert (got.taken <= 2 * got["size"]).all() and ((got.taken % got["size"]) == 0).all()
+    assert abs(got.taken.sum() - got.target.iloc[0]) <= 0.001 * got.target.iloc[0]
+
+
 # ------------------------------------------------------------------ 4
 
 def cut_by_hand(texts, least=100):
