@@ -6,9 +6,11 @@ density is characters per tag, adjusted by how much of it stands in links
 against the body's mean. A node's sum is that of its children's densities. From
 the node of the largest sum, the smallest density on the path up to the body is
 the threshold: nodes below it are left out, and from each kept branch the
-subtree of the largest sum is taken. Elements that never hold main text
-(scripts, forms, navigation, and blocks named as notices, adverts or comments)
-are cut before the densities are computed.
+subtree of the largest sum is taken. Elements that never hold main text (scripts,
+controls, what is hidden) are cut before the densities are computed. So is what
+its tag, role or name marks as standing beside an article (navigation, forms,
+notices, adverts, comments), unless it holds the page's article: the mark alone
+is no more than evidence. If nothing is left, the marks are disregarded.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import load
 
 #: Elements whose content is never text of the page.
-SKIP = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "option", "button", "input", "textarea", "form", "nav", "footer", "aside", "dialog", "menu"}
+SKIP = {"script", "style", "noscript", "template", "head", "title", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "audio", "video", "select", "option", "button", "input", "textarea"}
+#: Elements that stand beside an article as a rule.
+ASIDE = {"form", "nav", "footer", "aside", "dialog", "menu"}
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose text runs on with the text around them.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr", "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mstyle", "mpadded", "mphantom", "mfenced", "menclose", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mtable", "mtr", "mtd"}
 #: Opening one of these closes an open one of those before it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 #: Elements inside which the rules of CLOSES look no further up.
@@ -37,34 +41,40 @@ BARRIER = {"table", "ul", "ol", "dl", "div", "section", "article", "main", "body
 BLOCKS_END_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: Words in class, id or role that mark what stands beside an article.
 BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|comment-list|replies|respond|disqus|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|header|masthead|share|sharing|social|related|recommend(?:ed|ations)?|pagination|pager|skip|toolbar|search|copyright)(?:$|[\s_-])", re.I)
+#: Names of a part of an article itself, inside one.
+HEADING = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "cut", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", cut: bool = False):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: "Node | None", mark: str = ""):
+        self.tag, self.parent, self.mark, self.cut = tag, parent, mark, bool(mark)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _beside(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+def _beside(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> str:
+    """Why an element is cut: "never" text of the page, marked by "tag" or role, "name" or "part" of a name; else empty."""
     if tag in SKIP:
-        return True
-    if tag == "header" and not inside_article:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
+        return "never"
+    mark = "part" if tag == "form" else "tag" if tag in ASIDE or tag == "header" and not inside_article else ""
+    if not mark and tag in ("html", "body", "article", "main"):
+        return ""
     for key, value in attrs:
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "never"
         if key == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"):
-            return True
-        if key in ("class", "id") and value and BESIDE.search(value):
-            return True
-    return False
+            mark = mark or "tag"
+        if key in ("class", "id") and value:
+            tokens = [HEADING.sub(" ", t) if inside_article else t for t in value.split()]
+            if any(BESIDE.fullmatch(t) for t in tokens):
+                mark = mark or "name"
+            elif any(BESIDE.search(t) for t in tokens):
+                mark = mark or "part"
+    return mark
 
 
 class TreeReader(HTMLParser):
@@ -121,6 +131,50 @@ class TreeReader(HTMLParser):
         self.top.children.append(data)
 
 
+def _plain(root: Node) -> tuple[dict[int, int], dict[int, set[str]]]:
+    """By node: characters outside links and, of these tags, whether an article or main is it or in it; what is never text is left out."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        order.append((node, linked))
+        stack.extend((c, linked) for c in node.children if isinstance(c, Node) and c.mark != "never")
+    chars: dict[int, int] = {}
+    holds: dict[int, set[str]] = {}
+    for node, linked in reversed(order):
+        below = [c for c in node.children if isinstance(c, Node) and c.mark != "never"]
+        own = 0 if linked else sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        chars[id(node)] = own + sum(chars[id(c)] for c in below)
+        holds[id(node)] = ({node.tag} & {"article", "main"}).union(*[holds[id(c)] for c in below])
+    return chars, holds
+
+
+def _spare(body: Node) -> None:
+    """Keep marked elements that hold the page's article.
+
+    That is those which hold its main; and, where no article or main stands
+    outside marked elements, those which hold an article of more text than stands
+    outside, and those marked by a part of a name only (or forms) that hold
+    most of the page's text. Links count as no text.
+    """
+    chars, holds = _plain(body)
+    free, named, stack = 0, False, [body]
+    while stack:
+        node = stack.pop()
+        below = [c for c in node.children if isinstance(c, Node) and c.mark != "never"]
+        free += chars[id(node)] - sum(chars[id(c)] for c in below)
+        named = named or node.tag in ("article", "main")
+        stack.extend(c for c in below if not c.cut)
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        if node.cut:
+            text, inside = chars[id(node)], holds[id(node)]
+            node.cut = not ("main" in inside or not named and ("article" in inside and text > free or node.mark == "part" and 2 * text > chars[id(body)]))
+        if not node.cut:
+            stack.extend(c for c in node.children if isinstance(c, Node) and c.mark != "never")
+
+
 def _post_order(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
@@ -262,6 +316,25 @@ def main_text(html: str | None) -> str:
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
     if body is not root:
         body.cut = False
+    _spare(body)
+    text = _extract(body)
+    if not text:
+        _unmark(body)
+        text = _extract(body)
+    return text
+
+
+def _unmark(body: Node) -> None:
+    """Keep all named blocks and forms; what its tag or role marks stays cut."""
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        node.cut = node.cut and node.mark in ("never", "tag")
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        stack.extend(c for c in node.children if isinstance(c, Node))
+
+
+def _extract(body: Node) -> str:
     _measure(body)
     chosen: list[Node] = []
     for node in _selected(body):
@@ -274,8 +347,8 @@ def main_text(html: str | None) -> str:
 def extract_main_text(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), out_col: str = "text") -> DataFrame:
     """Each page's ``keep`` columns and its main text.
 
-    Null and empty pages, and pages without text outside menus, forms, adverts
-    and the like, have the empty text. Pages of any length are read whole;
+    Null and empty pages, and pages without text outside menus, footers and the
+    like, have the empty text. Pages of any length are read whole;
     repeated rows are repeated; other columns are not read.
     """
     source = pages.select(*[F.col(c) for c in keep], F.col(html_col).cast("string").alias("__html"))

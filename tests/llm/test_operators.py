@@ -415,6 +415,27 @@ PAGES = [
 ]
 
 
+ARTICLE = "<h1>A title</h1><p>Long article text with many words in it, and more of them.</p><p>Another paragraph, as long as the first one was.</p>"
+SAID = "A title Long article text with many words in it, and more of them. Another paragraph, as long as the first one was."
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "layout no-sidebar", "content share-enabled", "wrapper menu-closed header-fixed"])
+def test_main_text_in_named_wrappers(name):
+    beside = "<div class=sidebar><ul><li><a>one</a><li><a>two</a></ul></div><div class=comments><p>A reader says things.</p></div>"
+    assert html_text.main_text(f"<body><div class='{name}'><div class=text>{ARTICLE}</div></div>{beside}</body>") == SAID
+    assert html_text.main_text(f"<body><div class='{name}'><article>{ARTICLE}</article>{beside}</div></body>") == SAID
+
+
+def test_main_text_keeps_what_belongs_to_an_article():
+    assert html_text.main_text(f"<body><form action=/><nav><a>Home</a></nav><div>{ARTICLE}</div></form></body>") == SAID
+    assert html_text.main_text(f"<body><div class=overlay><main>{ARTICLE}</main></div><p>Other words.</p></body>") == SAID
+    assert html_text.main_text(f"<body><article><div class=section-header>Part one</div>{ARTICLE}</article></body>") == "Part one " + SAID
+    assert html_text.main_text(f"<body><article>{ARTICLE}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article></body>") == SAID + " So x=1 holds."
+    assert html_text.main_text("<body><div class=notice><p>All that the page says.</p></div></body>") == "All that the page says."
+    comments = "<div class=comments>" + "<article><p>A reader says a lot of things here, at length, in many words.</p></article>" * 9 + "</div>"
+    assert html_text.main_text(f"<body><article>{ARTICLE}</article>{comments}</body>") == SAID
+
+
 def test_main_text(spark):
     assert [html_text.main_text(h) for h, _ in PAGES] == [t for _, t in PAGES]
     df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
