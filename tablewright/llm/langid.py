@@ -28,8 +28,8 @@ UNKNOWN = "und"
 
 
 def _letter_table() -> np.ndarray:
-    """For each code point of the basic plane, whether it is a letter."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+    """For each code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 _LETTER = _letter_table()
@@ -39,7 +39,7 @@ _SLOTS = 1 << BITS
 def code_points(text: str) -> np.ndarray:
     """Lower-cased letters with every run of anything else as one space; padded."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = np.where(cp < 0x10000, _LETTER[np.minimum(cp, 0xFFFF)], True)
+    letter = _LETTER[cp]
     out = np.where(letter, cp, np.uint32(32))
     first = np.ones(len(out), bool)
     first[1:] = letter[1:] | letter[:-1]

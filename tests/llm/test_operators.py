@@ -405,6 +405,13 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify_language(e, none(spark)).collect()} == {"und"} and langid.identify_language(none(spark), e).count() == 0
 
 
+def test_language_of_symbols_beyond_the_basic_plane(spark):
+    e = spark.createDataFrame([(1, "one two three four", "en", "a", 0), (2, "un deux trois quatre", "fr", "a", 0), (3, "\U0001F600 \U0001F389\U0001F389", "en", "a", 0)], DOC)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_language(e, e.where("doc_id < 3")).collect()}
+    assert got[3] == ("und", 0) and got[1][0] != "und"
+    assert langid.code_points("a\U0001F600b").tolist() == langid.code_points("a b").tolist() and langid.has_letter(langid.code_points("\U00010428"))
+
+
 # ------------------------------------------------------------------ 9
 
 PAGES = [
