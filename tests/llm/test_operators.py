@@ -132,6 +132,17 @@ def hit_by_hand(docs, items, window=10):
     return out
 
 
+@pytest.mark.parametrize("block", [8_000_000, 40])
+def test_decontamination_judges_rows_alone(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    b = spark.createDataFrame([(1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "beta gamma delta"), (2, "zeta eta theta"), (None, "iota kappa lambda")], "item_id long, text string")
+    docs = [(1, "x alpha beta gamma delta"), (1, "clean words only"), (None, "zeta eta theta"), (None, "clean as well"), (3, "iota kappa lambda mu"), (4, "iota kappa")]
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    key = lambda x: str(x)
+    assert sorted([(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"]), r.unnamed) for r in got], key=key) == sorted(
+        [(1, 5, 4, ["1"], False), (1, 3, 0, [], False), (None, 3, 3, ["2"], False), (None, 3, 0, [], False), (3, 4, 3, [], True), (4, 2, 0, [], False)], key=key)
+
+
 @pytest.mark.parametrize("block", [8_000_000, 60])
 def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
