@@ -1,8 +1,8 @@
 """Shared pieces of the training-data operators: storage, and numpy text kernels.
 
 The kernels work on Arrow string buffers (UTF-8 bytes plus offsets) without
-building Python strings, a few megabytes at a time, so that memory stays bounded
-whatever the length of a text or a batch.
+building Python strings, a few megabytes at a time: their memory is bounded by
+SLICE_BYTES, or by the longest single text where that is longer.
 """
 
 from __future__ import annotations
@@ -12,30 +12,38 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at a time.
 SLICE_BYTES = 2_000_000
+#: Bytes of text whose hashes one reducer gathers, on average: bounds its memory at every input size.
+BUCKET_BYTES = 128_000_000
 
 
 # ------------------------------------------------------------------ storage
 
 _OWN: dict[str, str] = {}
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    A folder of our own is used only where the session names none, as in tests:
-    one for each application, deleted when the process ends.
+    A folder of our own is used only where the session names none and all its
+    threads are on this machine, as in tests: one for each application, deleted
+    when the process ends. On a cluster a missing setting is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        app = spark.sparkContext.applicationId
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {context.master} share")
+        app = context.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="tablewright-")
             atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
@@ -43,12 +51,39 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tablewright/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialize wrote for these frames, which nothing may read any more."""
+    for frame in frames:
+        path = _WRITTEN.pop(frame, None)
+        if path:
+            _delete(frame.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder.
+
+    Results that haven't been read or written yet depend on it: call it after.
+    """
+    _delete(spark, _own_dir(spark))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +94,32 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets_for(texts: DataFrame, text_col: str = "text") -> int:
+    """Reducers for hashes of these texts: one for BUCKET_BYTES of text, and no fewer than the session's partitions."""
+    size = texts.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(partitions(texts.sparkSession), -(-size // BUCKET_BYTES))
+
+
+# ------------------------------------------------------------------ rows
+
+#: Tag of the rows without an id.
+NO_ID = 0xFFFFFFFF
+
+
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(doc, tag), by which rows are told apart and put in order.
+
+    doc is the id, and tag a hash of the text, so that texts of one id are
+    documents of their own; without an id, doc is a hash of the text and tag is
+    NO_ID. Order: rows with an id first, then doc, then tag. Rows that are equal
+    in id and text have the same key: they are one document.
+    """
+    key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    doc = F.coalesce(key, F.xxhash64(text, F.lit(23)))
+    tag = F.when(key.isNull(), F.lit(NO_ID)).otherwise(F.pmod(F.xxhash64(text, F.lit(29)), F.lit(NO_ID)))
+    return doc, F.coalesce(tag, F.lit(0)).cast("long")  # never null, as the planner sees it too
+
+
 def crc_rest(key: str, modulus: int):
     """crc32 of the decimal text of a key, modulo a number (null: -1, in no fold)."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

@@ -4,7 +4,8 @@ Keys are 128-bit hashes of what stands at a place of a document. A mapper sends
 packed arrays, not a row for each key, and of keys that it has seen several
 times only the first place: the others are known to be repeats already. So a key
 that stands in a third of all documents reaches its reducer once for each
-flush of a mapper, not once for each document.
+flush of a mapper, not once for each document. Keys are dealt by their hash to
+as many reducers as the input's bytes ask for.
 """
 
 from __future__ import annotations
@@ -16,35 +17,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import partitions
+from tablewright.llm.common import NO_ID
 
 #: Places that a mapper gathers before it sends them.
 FLUSH = 1_500_000
-#: Stands for a null document id, which comes after all others.
-LAST_ID = np.iinfo(np.int64).max
-PLACE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
+PLACE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<i4")])
 
 BLOB = "bucket int, kind int, n int, data binary"
-MARKS = "doc long, places array<int>"
+MARKS = "doc long, tag long, places array<int>"
 
 
-def sort_places(a: np.ndarray) -> np.ndarray:
-    return a[np.lexsort((a["pos"], a["doc"], a["h2"], a["h1"]))]
-
-
-def first_of_group(a: np.ndarray) -> np.ndarray:
-    """For sorted places: whether each has another key than the one before."""
-    new = np.ones(len(a), bool)
-    new[1:] = (a["h1"][1:] != a["h1"][:-1]) | (a["h2"][1:] != a["h2"][:-1])
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in any column (the first does)."""
+    new = np.ones(len(columns[0]), bool)
+    for k, c in enumerate(columns):
+        differs = c[1:] != c[:-1]
+        new[1:] = differs if k == 0 else new[1:] | differs
     return new
 
 
-def later_places(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted places, mask of those after their group's first); equal places are one."""
-    a = sort_places(a)
-    new = first_of_group(a)
+def earliest_first(a: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places whose groups begin at ``new``: (places in order within each group, mask of those that are not the first's place).
+
+    Only groups of several places are sorted.
+    """
+    group = np.cumsum(new) - 1
+    many = np.flatnonzero(np.bincount(group)[group] > 1) if len(a) else np.zeros(0, np.int64)
+    if len(many):
+        s = a[many]
+        a[many] = s[np.lexsort((s["pos"], s["tag"], s["doc"], s["tag"] == NO_ID, group[many]))]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    return a, (a["doc"] != a["doc"][lead]) | (a["pos"] != a["pos"][lead])
+    other = np.zeros(len(a), bool)
+    x, y = a[many], a[lead[many]]
+    other[many] = (x["doc"] != y["doc"]) | (x["tag"] != y["tag"]) | (x["pos"] != y["pos"])
+    return a, other
+
+
+def later_places(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places by key and order, mask of those after their key's first, mask of each key's first row).
+
+    Equal places of a key are one.
+    """
+    a = a[np.lexsort((a["h2"], a["h1"]))]
+    new = starts(a["h1"], a["h2"])
+    a, later = earliest_first(a, new)
+    return a, later, new
 
 
 def send(batches: Iterable[pa.RecordBatch], places: Callable[[pa.RecordBatch], Iterator[np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -62,62 +79,71 @@ def send(batches: Iterable[pa.RecordBatch], places: Callable[[pa.RecordBatch], I
         yield _flush(held, buckets, turn)
 
 
+def by_bucket(to: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows dealt to it) for each bucket that gets any."""
+    order = np.argsort(to, kind="stable")
+    dealt = to[order]
+    at = np.flatnonzero(starts(dealt)) if len(dealt) else np.zeros(0, np.int64)
+    for lo, hi in zip(at.tolist(), np.append(at[1:], len(dealt)).tolist()):
+        yield int(dealt[lo]), order[lo:hi]
+
+
 def _flush(held: list[np.ndarray], buckets: int, turn: int) -> pa.RecordBatch:
-    a, later = later_places(np.concatenate(held))
-    fresh, known = a[~later & first_of_group(a)], a[later]
+    a, later, new = later_places(np.concatenate(held))
+    fresh, known = a[~later & new], a[later]
     to = (fresh["h1"] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    fresh, to = fresh[order], to[order]
-    edge = np.searchsorted(to, np.arange(buckets + 1))
-    rows = [(b, 0, fresh[edge[b]: edge[b + 1]]) for b in range(buckets) if edge[b + 1] > edge[b]]
+    rows = [(b, 0, fresh[k]) for b, k in by_bucket(to, buckets)]
     if len(known):
         rows.append(((int(known["doc"][len(known) // 2]) * 2_654_435_761 + turn) % buckets, 1, known))
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[2]) for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
+        [
+            pa.array([r[0] for r in rows], pa.int32()),
+            pa.array([r[1] for r in rows], pa.int32()),
+            pa.array([len(r[2]) for r in rows], pa.int32()),
+            pa.array([r[2].tobytes() for r in rows], pa.binary()),
+        ],
         ["bucket", "kind", "n", "data"])
 
 
-def pack_marks(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(first, len(doc)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))], ["doc", "places"])
+def by_document(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in order, first row of each document, the row after its last)."""
+    a = a[np.lexsort((a["pos"], a["tag"], a["doc"]))]
+    first = np.flatnonzero(starts(a["doc"], a["tag"])) if len(a) else np.zeros(0, np.int64)
+    return a, first, np.append(first[1:], len(a)) if len(first) else first
+
+
+def pack_marks(a: np.ndarray) -> pa.RecordBatch:
+    a, first, ends = by_document(a)
+    edge = np.append(first, len(a)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a["doc"][first]), pa.array(a["tag"][first].astype(np.int64)), pa.ListArray.from_arrays(pa.array(edge), pa.array(a["pos"].astype(np.int32)))],
+        ["doc", "tag", "places"])
 
 
-def gather(batches: Iterable[pa.RecordBatch]) -> tuple[dict[int, np.ndarray], list[np.ndarray]]:
-    """(places by bucket, known repeats) of the blobs that one task got."""
+def reduce_places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks of one bucket's blobs."""
     parts: dict[int, list[np.ndarray]] = {}
-    known = []
     for batch in batches:
         for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
-            a = np.frombuffer(data.as_buffer(), PLACE).copy()
+            a = np.frombuffer(data.as_buffer(), PLACE)
             if kind:
-                known.append(a)
+                yield pack_marks(a)
             else:
-                parts.setdefault(bucket, []).append(a)
-    return {b: np.concatenate(p) for b, p in parts.items()}, known
+                parts.setdefault(bucket, []).append(a.copy())
+    for bucket in sorted(parts):
+        a, later, _ = later_places(np.concatenate(parts.pop(bucket)))
+        yield pack_marks(a[later])
 
 
-def repeated_places(rows: DataFrame, places: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> DataFrame:
-    """(doc, places): the places of each document whose key stands earlier too.
+def repeated_places(rows: DataFrame, places: Callable[[pa.RecordBatch], Iterator[np.ndarray]], buckets: int) -> DataFrame:
+    """(doc, tag, places): the places of each document whose key stands earlier too.
 
-    Earlier is a smaller document id, or a smaller place of the same document.
-    A document may have several rows.
+    Earlier is an earlier document in the order of ``common.row_key``, or a
+    smaller place of the same one. A document may have several rows.
     """
-    n = partitions(rows.sparkSession)
-
-    def reduce(batches):
-        parts, known = gather(batches)
-        for a in known:
-            yield pack_marks(a["doc"], a["pos"])
-        for a in parts.values():
-            a, later = later_places(a)
-            yield pack_marks(a["doc"][later], a["pos"][later])
-
-    blobs = rows.mapInArrow(lambda batches: send(batches, places, n), BLOB)
-    return blobs.repartitionById(n, F.col("bucket")).mapInArrow(reduce, MARKS)
+    blobs = rows.mapInArrow(lambda batches: send(batches, places, buckets), BLOB)
+    return blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(reduce_places, MARKS)
 
 
 def marks_by_document(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return marks.groupBy("doc", "tag").agg(F.flatten(F.collect_list("places")).alias("places"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import ann, components, decontaminate, html_text, jaccard_join, langid, licences, mixing, quality, repeated_bytes, sentence_spans
-from tablewright.llm.common import Words, crc_rest, load, merged, shingles, text_buffer
+from tablewright.llm.common import NO_ID, Words, crc_rest, load, merged, row_key, shingles, text_buffer
 from tablewright.llm.run_length_index import RunLengthIndex, matching_statistics
 
 SF = "/root/testdata/sf0.001"
@@ -531,3 +531,55 @@ def test_sentence_span_edges(spark):
     assert len(rows) == len(EDGES) and [r.text for r in rows if r.doc_id in (1, 2, 3)].count(None) == 1
     assert sentence_spans.remove_repeated_spans(none(spark)).count() == 0
     assert crc_rest("doc_id", 3) is not None
+
+
+# ------------------------------------------------------------------ ids that are null or repeated
+
+#: Texts of one id differ, rows repeat, and ids are missing.
+def _odd_rows(say):
+    shared, own = say(3), [say(6) for _ in range(8)]
+    return [(1, own[0] + shared), (1, own[1] + shared), (1, own[1] + shared), (2, own[2]), (None, own[3]), (None, own[4]), (None, own[4]), (None, own[5] + shared), (3, own[2])]
+
+
+def _row_order(spark, rows):
+    """The rows in the order of documents, repeated rows once."""
+    df = spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string")
+    doc, tag = row_key("doc_id", "text")
+    got = df.select("doc_id", "text", doc.alias("doc"), tag.alias("tag")).collect()
+    return [(r.doc_id, r.text) for r in sorted(got, key=lambda r: (r.tag == NO_ID, r.doc, r.tag))]
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_repeated_bytes_of_odd_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(repeated_bytes, "MOST_SEGMENTS", most)
+    rng = np.random.default_rng(12)
+    rows = _odd_rows(lambda n: "".join(map(chr, rng.integers(97, 123, 90 * n))))
+    rows += [(10 + k, "".join(map(chr, rng.integers(97, 123, 60))) + rows[3][1][k * 11: k * 11 + 170]) for k in range(12)]
+    order = _row_order(spark, rows)
+    want = dict(zip(order, cut_by_hand([t for _, t in order])))
+    got = repeated_bytes.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got), key=str) == sorted(((d, *want[d, t]) for d, t in rows), key=str)
+    assert all(want[r][1] == 0 for r in order if r[0] is None and not r[1].endswith(rows[0][1][-90:]))
+
+
+def test_index_takes_a_few_anchors_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    o = np.zeros(60, repeated_bytes.OPEN)
+    o["anchor"], o["windows"] = rng.integers(0, 9, 60), 3
+    data = rng.integers(0, 255, 60 * 102).astype(np.uint8)
+    monkeypatch.setattr(repeated_bytes, "INDEX_BYTES", 1500)
+    parts = list(repeated_bytes.anchor_groups(o, data, 100))
+    assert sorted(np.concatenate([r for r, _ in parts]).tolist()) == list(range(60)) and len(parts) > 3
+    assert all((own == data.reshape(60, 102)[rows].reshape(-1)).all() for rows, own in parts)
+    assert len({a for rows, _ in parts for a in np.unique(o["anchor"][rows])}) == sum(len(np.unique(o["anchor"][rows])) for rows, _ in parts)
+
+
+def test_sentence_spans_of_odd_ids(spark):
+    rng = np.random.default_rng(13)
+    rows = _odd_rows(lambda n: " ".join(" ".join(f"w{x}" for x in rng.integers(0, 900, 8)) + "." for _ in range(n)) + " ")
+    order = _row_order(spark, rows)
+    want = {row: (n, gone) for row, (_, n, gone, _) in zip(order, spans_by_hand([(k, t) for k, (_, t) in enumerate(order)]))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sentence_spans.remove_repeated_spans(df.withColumn("was", F.col("text")).repartition(4)).collect()
+    assert sorted(((r.doc_id, r.was, r.n_sentences, r.n_removed) for r in got), key=str) == sorted(((d, t, *want[d, t]) for d, t in rows), key=str)
+    assert all(r.n_removed == 0 for r in got if r.doc_id is None and r.was in (rows[4][1], rows[5][1]))
