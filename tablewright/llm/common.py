@@ -16,7 +16,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at a time.
@@ -70,6 +70,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """materialize, and aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), label)
+    return out, seen.get
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what materialize wrote for these frames, which nothing may read any more."""
     for frame in frames:
@@ -100,6 +107,32 @@ def buckets_for(texts: DataFrame, text_col: str = "text") -> int:
     return max(partitions(texts.sparkSession), -(-size // BUCKET_BYTES))
 
 
+#: Keys that a join treats as hot, at most.
+MOST_HOT = 10_000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of values, which has each key once; no task gets all rows of a hot key.
+
+    weight is the column of values that says how many rows a key has (or more),
+    total their sum. A key is hot if it has a MOST_HOTth of the total: there are
+    MOST_HOT such keys at most, and these alone are broadcast. The others are
+    joined by merge.
+    """
+    least = hot_from(total)
+    # Whole structs: so both uses of values need the same columns, and share what makes them.
+    given = values.select(*on, F.struct(*[c for c in values.columns if c not in on]).alias("__given"))
+    met = rows.join(F.broadcast(given.where(F.col("__given")[weight] >= least)), on, "left")
+    cold = met.where("__given is null").drop("__given").join(given.where(F.col("__given")[weight] < least).hint("merge"), on, how)
+    both = cold.unionByName(met.where("__given is not null"))
+    return both.select(*rows.columns, "__given.*")
+
+
+def hot_from(total: int) -> int:
+    """Rows from which on a key is hot, of so many in all: MOST_HOT keys have that many, at most."""
+    return max(2, -(-total // MOST_HOT))
+
+
 # ------------------------------------------------------------------ rows
 
 #: Tag of the rows without an id.

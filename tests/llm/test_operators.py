@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import ann, components, decontaminate, html_text, jaccard_join, langid, licences, mixing, quality, repeated_bytes, sentence_spans
+from tablewright.llm import ann, common, components, decontaminate, html_text, jaccard_join, langid, licences, mixing, quality, repeated_bytes, sentence_spans
 from tablewright.llm.common import NO_ID, Words, crc_rest, load, merged, row_key, shingles, text_buffer
 from tablewright.llm.run_length_index import RunLengthIndex, matching_statistics
 
@@ -583,3 +583,68 @@ def test_sentence_spans_of_odd_ids(spark):
     got = sentence_spans.remove_repeated_spans(df.withColumn("was", F.col("text")).repartition(4)).collect()
     assert sorted(((r.doc_id, r.was, r.n_sentences, r.n_removed) for r in got), key=str) == sorted(((d, t, *want[d, t]) for d, t in rows), key=str)
     assert all(r.n_removed == 0 for r in got if r.doc_id is None and r.was in (rows[4][1], rows[5][1]))
+
+
+def rows_by_hand(texts, size=5, threshold=0.8):
+    """(smallest row that is reached over links, links) of each row."""
+    links = links_by_hand(list(enumerate(texts)), size, threshold)
+    return [links[k] for k in range(len(texts))]
+
+
+def _chain(rng, n, length=40):
+    """Texts of which each shares most with the next one, and nothing with one far away."""
+    words = [f"v{x}" for x in range(length + 2 * n)]
+    return [" ".join(words[2 * k: 2 * k + length]) for k in range(n)]
+
+
+@pytest.mark.parametrize("block, hot", [(2000, 10_000), (5, 10_000), (5, 3)])
+def test_near_duplicates_of_odd_ids(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(common, "MOST_HOT", hot)
+    rng = np.random.default_rng(14)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, c), (None, c), (None, c + " end"), (None, "alone " * 9), (3, b + " end"), (None, None), (4, ""), (None, a)]
+    rows += [(100 + k, t) for k, t in enumerate(_chain(rng, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(3)
+    named = [r for r in rows if r[0] is not None]
+    want = rows_by_hand([t for _, t in named])
+    first = {root: min(d for (d, _), (other, _) in zip(named, want) if other == root) for root, _ in want}
+    got = jaccard_join.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got if r.doc_id is not None) == sorted((d, first[root], n) for (d, _), (root, n) in zip(named, want))
+    assert [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(None, None)] * (len(rows) - len(named))
+    want = rows_by_hand([t for _, t in rows])  # the other one takes all rows
+    least = {}  # the smallest id of each class
+    for (d, _), (root, _) in zip(rows, want):
+        least[root] = min((x for x in (d, least.get(root)) if x is not None), default=None)
+    kept = jaccard_join.first_of_each_class(df)
+    assert kept.columns == df.columns
+    texts = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    said = [k for k, (_, t) in enumerate(rows) if low_words(t)]
+    assert len([t for _, t in texts if low_words(t)]) == len({want[k][0] for k in said}) and len(texts) == len({want[k][0] for k in said}) + 2
+    assert {d for d, t in texts if low_words(t)} == {least[want[k][0]] for k in said}
+
+
+def test_pairs_share_a_band():
+    rng = np.random.default_rng(3)
+    bands = rng.integers(0, 6, (80, 5)).astype(np.uint64)
+    side = (np.arange(80) >= 40).astype(int)
+    for s in (None, side):
+        got = [(min(p), max(p)) for x, y in jaccard_join.band_pairs(bands, s) for p in zip(x.tolist(), y.tolist())]
+        want = {(i, j) for i in range(80) for j in range(i + 1, 80) if (bands[i] == bands[j]).any() and (s is None or side[i] != side[j])}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_tiles_and_lists_find_the_same(across):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = []
+    for _ in range(90):
+        s = base.copy()
+        s[rng.integers(0, 60, int(rng.integers(0, 9)))] = rng.integers(0, 1 << 63)
+        sets.append(np.unique(s))
+    block, comp, side = jaccard_join.Block(sets), np.zeros(90, int), (np.arange(90) >= 30).astype(int)
+    decisions = jaccard_join.least_matches(0.8, 1e-9)
+    got = [{(min(p), max(p)) for x, y in jaccard_join.compare(block, comp, side if across else None, 0.8, decisions, crowd=c) for p in zip(x.tolist(), y.tolist())} for c in (2, 1000)]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if (not across or side[i] != side[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert got[0] == got[1] == want
