@@ -648,3 +648,122 @@ def test_tiles_and_lists_find_the_same(across):
     got = [{(min(p), max(p)) for x, y in jaccard_join.compare(block, comp, side if across else None, 0.8, decisions, crowd=c) for p in zip(x.tolist(), y.tolist())} for c in (2, 1000)]
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if (not across or side[i] != side[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
     assert got[0] == got[1] == want
+
+
+# ------------------------------------------------------------------ 1, with many lists
+
+def _points(kind, n, rng):
+    if kind == "gaussian":
+        return rng.normal(size=(n, 16))
+    return rng.normal(size=(60, 32))[rng.integers(0, 60, n)] + 0.3 * rng.normal(size=(n, 32))
+
+
+@pytest.mark.parametrize("kind, most", [("gaussian", 0.2), ("clustered", 0.2)])
+def test_recall_while_little_is_read(spark, kind, most):
+    x = _points(kind, 24_000, np.random.default_rng(9))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    report = {}
+    got = ann.nearest_neighbours(df, df.where("vec_id % 50 = 0"), list_size=16, report=report).toPandas()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(x), 50):
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
+    assert hits / (5 * len(range(0, len(x), 50))) >= 0.9 and report["lists"] > 1200
+    assert report["scanned"] < most
+
+
+def test_short_lists_are_read_until_k_are_found(spark):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(1, 8)) + 1e-4 * rng.normal(size=(400, 8)), 50 * np.eye(8)[:4] + rng.normal(size=(4, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, df.where("vec_id >= 396"), list_size=2, most_probes=1, probe_ratio=1.0).groupBy("query_id").count().collect()
+    assert {r["count"] for r in got} == {5} and len(got) == 8
+
+
+def test_two_levels_of_centroids(monkeypatch):
+    monkeypatch.setattr(ann, "ONE_LEVEL", 16)
+    x = np.random.default_rng(11).normal(size=(4000, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = ann.fit_router(x, 300)
+    assert 250 <= len(r.centroids) <= 350 and np.allclose(np.linalg.norm(r.centroids, axis=1), 1, atol=1e-5)
+    size = np.bincount((x @ r.centroids.T).argmax(axis=1), minlength=len(r.centroids))
+    assert size.max() <= 6 * len(x) / len(r.centroids)
+    found, dist = r.near(x[:200], 8)
+    true = np.sort(2 - 2 * x[:200] @ r.centroids.T, axis=1)[:, 0]
+    assert (dist[:, 0] <= true + 1e-5).mean() >= 0.9
+
+
+# ------------------------------------------------------------------ 3, against the exact optimum
+
+def most_words(patterns, targets, copies):
+    """The maximum flow as the smallest cut, over all sets of sources."""
+    names = list(targets)
+    cuts = []
+    for bits in range(1 << len(names)):
+        inside = {s for k, s in enumerate(names) if bits >> k & 1}
+        cuts.append(sum(targets[s] for s in inside) + sum(copies * n for p, n in patterns.items() if not set(p) <= inside))
+    return min(cuts)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_flow_is_the_cheapest(seed):
+    rng = np.random.default_rng(seed)
+    names = ["a", "b", "c", None]
+    patterns = {}
+    for _ in range(9):
+        p = tuple(sorted({names[k] for k in rng.integers(0, 4, int(rng.integers(1, 4)))}, key=str))
+        patterns[p] = int(rng.integers(1, 100))
+    targets = {s: float(rng.integers(1, 250)) for s in names}
+    flows = mixing.route(patterns, targets, 3)
+    best = [most_words(patterns, targets, c) for c in range(4)]
+    assert abs(sum(flows.values()) - best[3]) < 1e-3 and all(flows[p] <= 3 * n + 1e-6 for p, n in patterns.items())
+    cost = sum(max(0, min(flows[p], 2 * n) - n) + 4 * max(0, flows[p] - 2 * n) for p, n in patterns.items())
+    assert abs(cost - ((best[2] - best[1]) + 4 * (best[3] - best[2]))) < 1e-3
+
+
+def test_flow_of_very_many_patterns():
+    rng = np.random.default_rng(2)
+    names = [f"s{k}" for k in range(60)]
+    patterns = {tuple(sorted(names[k] for k in set(rng.integers(0, 60, 5).tolist()))): int(rng.integers(1, 1000)) for _ in range(30_000)}
+    sizes = {s: sum(n for p, n in patterns.items() if s in p) for s in names}
+    targets = mixing.source_targets(sizes, share=1.5 * sum(patterns.values()) / sum(sizes.values()))
+    flows = mixing.route(patterns, targets)
+    assert abs(sum(flows.values()) - sum(targets.values())) < 1
+
+
+def test_mix_of_overlapping_sources_keeps_to_the_targets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(1, 40)), [["a"], ["a", "b"], ["b", "c"], ["c"]][int(rng.integers(0, 4))]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of array<string>").withColumn("size", F.lit("clash"))
+    got = mixing.mix_sources(df, sources=F.col("of"), keep=("size",)).toPandas()
+    targets = mixing.source_targets({s: int(sum(len(t.split()) for _, t, of in rows if s in of)) for s in "abc"}, share=1.5 * sum(len(t.split()) for _, t, _ in rows) / sum(len(t.split()) * len(of) for _, t, of in rows))
+    assert abs(got.taken.sum() - sum(targets.values())) <= 4 * 40 and (got.taken <= 2 * got["size"]).all()
+    only = {p: got[got.sources.map(tuple) == p].taken.sum() for p in [("a",), ("a", "b"), ("b", "c"), ("c",)]}
+    assert only["a",] <= targets["a"] + 40 and only["c",] <= targets["c"] + 40 and only["a", "b"] + only["b", "c"] >= targets["b"] - 80
+
+
+# ------------------------------------------------------------------ 2, rows and columns
+
+@pytest.mark.parametrize("block", [8_000_000, 40])
+def test_clean_documents_keep_their_columns(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    b = spark.createDataFrame([(1, "alpha beta gamma"), (2, "zeta eta theta"), (None, "iota kappa lambda")], "item_id long, text string")
+    rows = [(1, "x alpha beta gamma delta", 1), (1, "clean words only", 2), (None, "zeta eta theta", 3), (None, "clean as well", 4), (None, None, 5), (3, "IOTA kappa, lambda", 6), (4, "clean words only", 7), (4, "clean words only", 7)]
+    got = decontaminate.clean_documents(spark.createDataFrame(rows, "doc_id long, text string, items int"), b)
+    assert got.columns == ["doc_id", "text", "items"] and sorted(r["items"] for r in got.collect()) == [2, 4, 5, 7, 7]
+    assert decontaminate.clean_documents(edges(spark), b.where("false")).count() == len(EDGES) and decontaminate.clean_documents(none(spark), b).count() == 0
+
+
+def test_shift_table_grows_with_the_patterns():
+    rng = np.random.default_rng(1)
+    few, many = (decontaminate.WuManber(rng.integers(0, 1 << 62, (n, 10)).astype(np.uint64)) for n in (10, 20_000))
+    assert few.bits < many.bits and (many.shift == 0).mean() < 0.2
+
+
+def test_labels_that_disagree_are_not_learnt(spark):
+    docs = spark.createDataFrame([(k, f"some words {k} " * (5 + k % 7)) for k in range(60)] + [(3, "another text")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(5, 0), (5, 1)], "doc_id long, quality int")
+    a, b = (sorted((r.doc_id, r.score) for r in quality.score_quality(d, labels).collect()) for d in (docs, docs.repartition(5)))
+    assert a == b and a == sorted((r.doc_id, r.score) for r in quality.score_quality(docs, labels.where("doc_id != 5")).collect())
