@@ -6,7 +6,8 @@ density is characters per tag, adjusted by how much of it stands in links
 against the body's mean. A node's sum is that of its children's densities. From
 the node of the largest sum, the smallest density on the path up to the body is
 the threshold: nodes below it are left out, and from each kept branch the
-subtree of the largest sum is taken. Elements that never hold main text (scripts,
+subtree of the largest sum is taken. Where that lies in an article or main, the
+page itself names the border, and the whole of it is taken. Elements that never hold main text (scripts,
 controls, what is hidden) are cut before the densities are computed. So is what
 its tag, role or name marks as standing beside an article (navigation, forms,
 notices, adverts, comments), unless it holds the page's article: the mark alone
@@ -43,6 +44,8 @@ BLOCKS_END_P = {"address", "article", "aside", "blockquote", "details", "div", "
 BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|comment-list|replies|respond|disqus|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|header|masthead|share|sharing|social|related|recommend(?:ed|ations)?|pagination|pager|skip|toolbar|search|copyright)(?:$|[\s_-])", re.I)
 #: Names of a part of an article itself, inside one.
 HEADING = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
+#: Words that may name a section of an article, too: as a part of a name inside one they tell nothing without many links.
+SECTION = re.compile(r"(?:^|[\s_-])(?:related|recommend(?:ed|ations)?|notice|side|search|banner|overlay|skip|copyright|footer|menu|promo(?:tion)?s?|widget)(?=$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -57,7 +60,7 @@ class Node:
 
 
 def _beside(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> str:
-    """Why an element is cut: "never" text of the page, marked by "tag" or role, "name" or "part" of a name; else empty."""
+    """Why an element is cut: "never" text of the page, marked by "tag" or role, "name" or "part" of a name, or a part that may name a "section"; else empty."""
     if tag in SKIP:
         return "never"
     mark = "part" if tag == "form" else "tag" if tag in ASIDE or tag == "header" and not inside_article else ""
@@ -73,7 +76,8 @@ def _beside(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool)
             if any(BESIDE.fullmatch(t) for t in tokens):
                 mark = mark or "name"
             elif any(BESIDE.search(t) for t in tokens):
-                mark = mark or "part"
+                plain = inside_article and not any(BESIDE.search(SECTION.sub(" ", t)) for t in tokens)
+                mark = mark or ("section" if plain else "part")
     return mark
 
 
@@ -83,6 +87,10 @@ class TreeReader(HTMLParser):
         self.root = self.top = Node("#root", None)
         self.depth_article = 0
 
+    def parse_marked_section(self, i, report=1):
+        # Not markup of HTML: read as a comment, up to the next ">".
+        return self.parse_bogus_comment(i)
+
     def _open_up_to(self, tags: set[str], stop: set[str]) -> Node | None:
         node = self.top
         while node is not None and node.tag not in stop:
@@ -131,22 +139,24 @@ class TreeReader(HTMLParser):
         self.top.children.append(data)
 
 
-def _plain(root: Node) -> tuple[dict[int, int], dict[int, set[str]]]:
-    """By node: characters outside links and, of these tags, whether an article or main is it or in it; what is never text is left out."""
+def _plain(root: Node) -> tuple[dict[int, int], dict[int, int], dict[int, set[str]]]:
+    """By node: characters outside links, all characters and, of these tags, whether an article or main is it or in it; what is never text is left out."""
     order, stack = [], [(root, False)]
     while stack:
         node, linked = stack.pop()
         linked = linked or node.tag == "a"
         order.append((node, linked))
         stack.extend((c, linked) for c in node.children if isinstance(c, Node) and c.mark != "never")
+    plain: dict[int, int] = {}
     chars: dict[int, int] = {}
     holds: dict[int, set[str]] = {}
     for node, linked in reversed(order):
         below = [c for c in node.children if isinstance(c, Node) and c.mark != "never"]
-        own = 0 if linked else sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        own = sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
         chars[id(node)] = own + sum(chars[id(c)] for c in below)
+        plain[id(node)] = (0 if linked else own) + sum(plain[id(c)] for c in below)
         holds[id(node)] = ({node.tag} & {"article", "main"}).union(*[holds[id(c)] for c in below])
-    return chars, holds
+    return plain, chars, holds
 
 
 def _spare(body: Node) -> None:
@@ -155,22 +165,25 @@ def _spare(body: Node) -> None:
     That is those which hold its main; and, where no article or main stands
     outside marked elements, those which hold an article of more text than stands
     outside, and those marked by a part of a name only (or forms) that hold
-    most of the page's text. Links count as no text.
+    most of the page's text. Links count as no text. What may be a section of an
+    article is kept unless most of it is links.
     """
-    chars, holds = _plain(body)
+    plain, chars, holds = _plain(body)
     free, named, stack = 0, False, [body]
     while stack:
         node = stack.pop()
+        if node.mark == "section":
+            node.cut = 2 * plain[id(node)] < chars[id(node)]
         below = [c for c in node.children if isinstance(c, Node) and c.mark != "never"]
-        free += chars[id(node)] - sum(chars[id(c)] for c in below)
+        free += plain[id(node)] - sum(plain[id(c)] for c in below)
         named = named or node.tag in ("article", "main")
-        stack.extend(c for c in below if not c.cut)
+        stack.extend(c for c in below if not c.cut or c.mark == "section")
     stack = [body]
     while stack:
         node = stack.pop()
-        if node.cut:
-            text, inside = chars[id(node)], holds[id(node)]
-            node.cut = not ("main" in inside or not named and ("article" in inside and text > free or node.mark == "part" and 2 * text > chars[id(body)]))
+        if node.cut and node.mark != "section":
+            text, inside = plain[id(node)], holds[id(node)]
+            node.cut = not ("main" in inside or not named and ("article" in inside and text > free or node.mark == "part" and 2 * text > plain[id(body)]))
         if not node.cut:
             stack.extend(c for c in node.children if isinstance(c, Node) and c.mark != "never")
 
@@ -348,7 +361,8 @@ def extract_main_text(pages: DataFrame, *, html_col: str = "html", keep: tuple[s
     """Each page's ``keep`` columns and its main text.
 
     Null and empty pages, and pages without text outside menus, footers and the
-    like, have the empty text. Pages of any length are read whole;
+    like, have the empty text. Broken markup is read as browsers do, as far as
+    it goes: no page stops the run. Pages of any length are read whole;
     repeated rows are repeated; other columns are not read.
     """
     source = pages.select(*[F.col(c) for c in keep], F.col(html_col).cast("string").alias("__html"))

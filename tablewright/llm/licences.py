@@ -2,7 +2,8 @@
 
 Texts are cut into normalised sentences (words only, lower-cased); a sentence
 that is known gets its identifier, and the sequence of a text's identifiers is
-matched, in order, against the rules of the licences. A sentence may be wrapped
+matched, in order, against the rules of the licences. Between two sentences of a
+rule, a few others may stand. A sentence may be wrapped
 over several lines: it begins at a text's start, a line's start or after a full
 stop, and ends before a line's end, at a full stop or at the text's end.
 """
@@ -46,16 +47,38 @@ SENTENCES: dict[str, str] = {
     "gpl-no-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-received": "You should have received a copy of the GNU General Public License along with this program",
     "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "cc-by-nc-4": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa-4": "Licensed under CC BY-SA 4.0",
-    "cc-by-4": "Licensed under CC BY 4.0",
-    "cc-by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "cc-by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "This is free and unencumbered software released into the public domain",
+    "lgpl3-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl21-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-no-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "agpl3-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "epl2-url": "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "mpl2-copy-plain": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "bsd-notice-3": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "rights-reserved": "All rights reserved",
 }
+#: Conditions of Creative Commons licences by their codes, in the order of the codes' parts.
+CC_CONDITIONS = {"by": "Attribution", "nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
+CC_CODES = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+#: Licences that a tag may name.
+TAGGED = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "AGPL-3.0-only", "MPL-2.0", "EPL-2.0", "Zlib", "BSL-1.0", "CC0-1.0", "Unlicense")
 #: Rules in order of precedence: a licence and the identifiers that show it, in sequence.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache2-notice-the", "apache2-compliance", "apache2-copy", "apache2-url", "apache2-as-is", "apache2-see")),
@@ -73,21 +96,52 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
     ("GPL-3.0-or-later", ("gpl3-later", "gpl-no-warranty", "gpl-received")),
+    ("GPL-3.0-or-later", ("gpl3-later", "gpl-no-warranty")),
     ("GPL-3.0-or-later", ("gpl3-later",)),
     ("GPL-2.0-or-later", ("gpl2-later", "gpl-no-warranty", "gpl-received")),
+    ("GPL-2.0-or-later", ("gpl2-later", "gpl-no-warranty")),
     ("GPL-2.0-or-later", ("gpl2-later",)),
     ("GPL-3.0-only", ("gpl-notice-3",)),
     ("GPL-2.0-only", ("gpl-notice-2",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "lgpl-no-warranty")),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "lgpl-no-warranty")),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-later", "gpl-no-warranty")),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("MPL-2.0", ("mpl2-notice", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-notice", "mpl2-copy-plain")),
     ("MPL-2.0", ("mpl2-notice",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4-work",)),
-    ("CC-BY-4.0", ("cc-by-4",)),
-    ("CC-BY-4.0", ("cc-by-4-work",)),
+    ("EPL-2.0", ("epl2-notice", "epl2-url")),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("0BSD", ("0bsd-grant", "isc-warranty")),
+    ("Apache-2.0", ("apache2-title",)),
+    ("GPL-3.0-only", ("gpl3-title",)),
+    ("GPL-2.0-only", ("gpl2-title",)),
+    ("LGPL-3.0-only", ("lgpl3-title",)),
+    ("AGPL-3.0-only", ("agpl3-title",)),
+    ("BSD-3-Clause", ("bsd-notice-3",)),
     ("CC0-1.0", ("cc0",)),
+    ("Unlicense", ("unlicense", "unlicense-anyone")),
     ("Unlicense", ("unlicense",)),
 )
+for _code in CC_CODES:
+    _said = "-".join(CC_CONDITIONS[c] for c in _code.split("-"))
+    for _version, _kind in (("4.0", "International"), ("3.0", "Unported")):
+        _id, _name = f"cc-{_code}-{_version}", f"CC-{_code.upper()}-{_version}"
+        SENTENCES[_id] = f"Licensed under CC {_code.upper()} {_version}"
+        SENTENCES[_id + "-work"] = f"This work is licensed under a Creative Commons {_said} {_version} {_kind} License"
+        SENTENCES[_id + "-work-under-the"] = f"This work is licensed under the Creative Commons {_said} {_version} {_kind} License"
+        RULES += tuple((_name, (x,)) for x in (_id, _id + "-work", _id + "-work-under-the"))
+for _name in TAGGED:
+    SENTENCES[f"tag-{_name}"] = f"SPDX-License-Identifier: {_name}"
+    RULES += ((_name, (f"tag-{_name}",)),)
+#: Other known sentences that may stand between two neighbours of a rule.
+GAP = 3
 
 
 class SentenceBook:
@@ -144,19 +198,36 @@ def _ends(between: bytes) -> bool:
     return _END.search(between) is not None
 
 
-def match_rules(identifiers: list[str]) -> tuple[list[str], list[str]]:
-    """(licences in order of first sight, identifiers that no rule used)."""
+def _follow(identifiers: list[str], free: list[bool], rule: tuple[str, ...], first: int, gap: int) -> list[int] | None:
+    """Where the rule's identifiers stand, from the first on, each at most ``gap`` others behind the one before."""
+    places = [first]
+    for name in rule[1:]:
+        at = places[-1] + 1
+        there = [k for k in range(at, min(at + gap + 1, len(identifiers))) if free[k] and identifiers[k] == name]
+        if not there:
+            return None
+        places.append(there[0])
+    return places
+
+
+def match_rules(identifiers: list[str], gap: int = GAP) -> tuple[list[str], list[str]]:
+    """(licences in order of first sight, identifiers that no rule used).
+
+    Rules are tried in order of precedence; an identifier serves one rule. The
+    identifiers of a rule stand in its order, at most ``gap`` others apart.
+    """
     free = [True] * len(identifiers)
+    there: dict[str, list[int]] = {}
+    for k, name in enumerate(identifiers):
+        there.setdefault(name, []).append(k)
     found: list[tuple[int, str]] = []
     for licence, rule in RULES:
-        k = 0
-        while k + len(rule) <= len(identifiers):
-            if all(free[k: k + len(rule)]) and tuple(identifiers[k: k + len(rule)]) == rule:
-                free[k: k + len(rule)] = [False] * len(rule)
+        for k in there.get(rule[0], ()):
+            places = _follow(identifiers, free, rule, k, gap) if free[k] else None
+            if places:
+                for p in places:
+                    free[p] = False
                 found.append((k, licence))
-                k += len(rule)
-            else:
-                k += 1
     return list(dict.fromkeys(name for _, name in sorted(found))), [x for x, f in zip(identifiers, free) if f]
 
 

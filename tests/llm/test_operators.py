@@ -767,3 +767,86 @@ def test_labels_that_disagree_are_not_learnt(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(5, 0), (5, 1)], "doc_id long, quality int")
     a, b = (sorted((r.doc_id, r.score) for r in quality.score_quality(d, labels).collect()) for d in (docs, docs.repartition(5)))
     assert a == b and a == sorted((r.doc_id, r.score) for r in quality.score_quality(docs, labels.where("doc_id != 5")).collect())
+
+
+# ------------------------------------------------------------------ 5, sequences
+
+def test_rules_match_in_order_with_gaps():
+    book = ["mit-grant", "rights-reserved", "mit-condition", "mit-as-is"]
+    assert licences.match_rules(book) == (["MIT"], ["rights-reserved"])
+    assert licences.match_rules(["mit-condition", "mit-grant", "mit-as-is"])[0] == []
+    assert licences.match_rules(["mit-grant", *["rights-reserved"] * 4, "mit-condition"])[0] == []
+    assert licences.match_rules(["mit-title", "gpl3-later", "mit-grant", "gpl-no-warranty", "mit-condition", "mit-as-is"]) == (["MIT", "GPL-3.0-or-later"], [])
+    assert {x for _, rule in licences.RULES for x in rule} <= set(licences.SENTENCES)
+
+
+def test_licences_are_found_by_their_own_sentences(spark):
+    texts = [(name, ".\n".join(licences.SENTENCES[x] for x in rule) + ".\n") for name, rule in licences.RULES]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: list(r.licences) for r in licences.scan_licences(df).collect()}
+    assert [got[k] for k in range(len(texts))] == [[name] for name, _ in texts]
+
+
+# ------------------------------------------------------------------ 9, broken pages and densities
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_page_stops_the_run(seed):
+    rng = np.random.default_rng(seed)
+    bits = ["<", "</", ">", "!", "[", "]", "--", "<!", "<![", "]]>", "<?", "p", "div", "script", " a=\"", "'", "&", "&#", "&#x", "x;", "article", "\0", "é", "\n", "<textarea>", "<plaintext>", "<title>", "<svg>", "="]
+    for _ in range(3000):
+        html_text.main_text("".join(bits[k] for k in rng.integers(0, len(bits), int(rng.integers(1, 25)))))
+    assert html_text.main_text("<p>a<![foo[x]]>b</p>") == "ab"
+    assert html_text.main_text(f"<body><![foo[x]]><article>{ARTICLE}</article></body>").endswith(SAID)
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<body><div class='layout with-sidebar'><article>{ARTICLE}</article></div></body>", SAID),
+    (f"<body><div class='has-header site'><div>{ARTICLE}</div></div></body>", SAID),
+    ("<body><article><header class='entry-header'><h1>T</h1></header><p>Words of it.</p></article></body>", "T Words of it."),
+    ("<body><article><div class='article-header'><h1>T</h1></div><p>Words of it.</p></article></body>", "T Words of it."),
+    (f"<body><article>{ARTICLE}<section id='related-work'><h2>Related work</h2><p>Others said it before.</p></section></article></body>", SAID + " Related work Others said it before."),
+    (f"<body><article>{ARTICLE}<div class='related-posts'><a>One other post</a> <a>Another post</a></div><div class='post-comments'><p>A reader says things.</p></div></article></body>", SAID),
+    (f"<body><form>{ARTICLE}</form></body>", SAID),
+    (f"<body><div id=nav><a>x</a><a>y</a></div><div id=content>{ARTICLE}<div>short</div><p>Tail of it, long as well.</p></div><div id=footer>foot</div></body>", SAID + " short Tail of it, long as well."),
+])
+def test_main_text_of_hard_pages(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_density_sums_are_those_of_the_formula():
+    import math
+    reader = html_text.TreeReader()
+    reader.feed("<body><div><p>some words <a>a link</a></p><p>more words of the text</p></div><ul><li><a>one</a></li><li><a>two</a> x</li></ul></body>")
+    reader.close()
+    body = reader.root.children[0]
+    html_text._measure(body)
+
+    def count(n, linked=False):
+        """(characters, tags, link characters, link tags) of a subtree."""
+        linked = linked or n.tag == "a"
+        c = t = lc = lt = 0
+        for x in n.children:
+            if isinstance(x, str):
+                size = len(re.sub(r"\s+", " ", x).strip())
+                c, lc = c + size, lc + size * linked
+            else:
+                a = count(x, linked)
+                c, t, lc, lt = c + a[0], t + a[1] + 1, lc + a[2], lt + a[3] + (x.tag == "a")
+        return c, t, lc, lt
+
+    whole = count(body)
+
+    def density(n):
+        c, t, lc, lt = count(n)
+        if not c:
+            return 0.0
+        base = max(math.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + math.e), 1 + 1e-9)
+        return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base)
+
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        below = [x for x in n.children if not isinstance(x, str)]
+        assert math.isclose(n.density, density(n), abs_tol=1e-9) and math.isclose(n.total, sum(density(x) for x in below), abs_tol=1e-9)
+        stack += below
+    assert html_text._best(body).tag == "div"
