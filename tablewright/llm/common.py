@@ -107,19 +107,27 @@ def buckets_for(texts: DataFrame, text_col: str = "text") -> int:
     return max(partitions(texts.sparkSession), -(-size // BUCKET_BYTES))
 
 
-#: Keys that a join treats as hot, at most.
-MOST_HOT = 10_000
+#: Keys that a join treats as hot, at most; and rows that any task can take of one key.
+MOST_HOT, LEAST_HOT = 10_000, 100_000
 
 
-def spread_join(rows: DataFrame, values: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def hot_from(total: int) -> int:
+    """Rows from which on a key is hot, of so many in all: MOST_HOT keys have that many, at most."""
+    return max(LEAST_HOT, -(-total // MOST_HOT))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", most: int | None = None) -> DataFrame:
     """rows with the columns of values, which has each key once; no task gets all rows of a hot key.
 
     weight is the column of values that says how many rows a key has (or more),
-    total their sum. A key is hot if it has a MOST_HOTth of the total: there are
-    MOST_HOT such keys at most, and these alone are broadcast. The others are
-    joined by merge.
+    total their sum, and most the largest of them, where that is known. A key is
+    hot if it has LEAST_HOT rows and a MOST_HOTth of the total: there are MOST_HOT
+    such keys at most, and these alone are broadcast. The others are joined by
+    merge, as all are where none can be hot.
     """
     least = hot_from(total)
+    if (total if most is None else most) < least:
+        return rows.join(values.hint("merge"), on, how).select(*rows.columns, *[c for c in values.columns if c not in on])
     # Whole structs: so both uses of values need the same columns, and share what makes them.
     given = values.select(*on, F.struct(*[c for c in values.columns if c not in on]).alias("__given"))
     met = rows.join(F.broadcast(given.where(F.col("__given")[weight] >= least)), on, "left")
@@ -128,11 +136,6 @@ def spread_join(rows: DataFrame, values: DataFrame, on: list[str], weight: str,
     return both.select(*rows.columns, "__given.*")
 
 
-def hot_from(total: int) -> int:
-    """Rows from which on a key is hot, of so many in all: MOST_HOT keys have that many, at most."""
-    return max(2, -(-total // MOST_HOT))
-
-
 # ------------------------------------------------------------------ rows
 
 #: Tag of the rows without an id.

@@ -601,6 +601,7 @@ def _chain(rng, n, length=40):
 def test_near_duplicates_of_odd_ids(spark, monkeypatch, block, hot):
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
     monkeypatch.setattr(common, "MOST_HOT", hot)
+    monkeypatch.setattr(common, "LEAST_HOT", 2 if hot == 3 else common.LEAST_HOT)
     rng = np.random.default_rng(14)
     a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(3))
     rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, c), (None, c), (None, c + " end"), (None, "alone " * 9), (3, b + " end"), (None, None), (4, ""), (None, a)]
