@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 #: A table as text; one inside another ends at the inner end tag.
 TABLE_PATTERN = r"(?is)<table\b.*?</table>"
 _TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_SPAN = re.compile(r"(colspan|rowspan)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _BLANKS = re.compile(r"[ \t]+")
 MOST_SPAN = 100
 
@@ -27,6 +27,11 @@ def span(value: str | None) -> int:
         return 1
 
 
+def attributes(markup: str) -> dict[str, str]:
+    """The attributes of a start tag by name in lower case; of a repeated one the last."""
+    return {name.lower(): html.unescape(value[1:-1] if value[:1] in "\"'" and value else value) for name, value in _ATTRIBUTE.findall(markup)}
+
+
 def read_cells(markup: str) -> list[list[dict]]:
     """Rows of cells of one table.
 
@@ -46,7 +51,7 @@ def read_cells(markup: str) -> list[list[dict]]:
             rows.append([])
         elif name in ("td", "th"):
             if not tag[1]:
-                spans = {k.lower(): v.strip("\"'") for k, v in reversed(_SPAN.findall(tag[3]))}
+                spans = attributes(tag[3])
                 cell = {"colspan": span(spans.get("colspan")), "rowspan": span(spans.get("rowspan")), "header": name == "th"}
                 said = []
                 if not rows:

@@ -110,3 +110,25 @@ def test_merge(spark):
     rows = source_rows(df).orderBy("idx").collect()
     assert [(r.idx, r.page, [tuple(c) for c in r.cells]) for r in rows] == [(0, 1, [("番号", "b"), ("列3", "c")]), (1, 2, [("列1", "x"), ("列2", "y")]), (2, 2, [("追加", "z")])]
     assert [r.columns for r in source_columns(df).collect()] == [["番号", "列3", "列1", "列2", "追加"]]
+
+
+def test_span_attributes_are_read_as_attributes():
+    from tablewright.functions.cells import attributes, read_cells
+    assert attributes(""" colspan=2 data-colspan="5" title='rowspan=4' COLSPAN="3" hidden""") == {"colspan": "3", "data-colspan": "5", "title": "rowspan=4", "hidden": ""}
+    row = read_cells("""<tr><td data-colspan="5">a</td><td title="rowspan=4">b</td><td colspan=2 colspan=3>c</td><td rowspan="x">d</td></tr>""")[0]
+    assert [(c["colspan"], c["rowspan"]) for c in row] == [(1, 1), (1, 1), (3, 1), (1, 1)]
+
+
+def test_an_expired_export_beside_other_files_stops_pruning(tmp_path):
+    import pytest
+
+    from tablewright.config import Settings
+    from tablewright.sinks import exports
+    s = Settings(export_dir=str(tmp_path / "e"))
+    assert exports.prune(s) == 0
+    links = [exports.export("a", lambda p: open(p, "w").close(), s) for _ in range(2)]
+    assert len(exports.listing(s)) == 2 and exports.prune(s) == 0
+    (tmp_path / "e" / links[0].split("/")[-2] / "other").touch()
+    with pytest.raises(OSError):
+        exports.prune(s, 1e12)
+    assert len(exports.listing(s)) == 2
