@@ -14,7 +14,7 @@ KINDS = (("date", "日付|年月日|日時|date"), ("postal", "郵便|〒|zip|po
 # Characters that a canonical form leaves out, besides white space.
 IGNORED = "・/.-ー－()（）,、"
 # Ideographs of names and places.
-KANJI = r"\x{4E00}-\x{9FFF}々ヶ"
+KANJI = "一-鿿々ヶ"
 KANA = r"ぁ-んァ-ン"
 # The types of cells, first match first.
 CELL_TYPES = (
@@ -112,13 +112,15 @@ def parse_template(c: Column, default: list[str] | tuple[str, ...]) -> Column:
 
 def date_tokens(normal: Column) -> Column:
     """Date tokens of a value (given in NFKC): structs of date (M/D) and code (a letter or '')."""
-    def group(k: int) -> Column:
-        return F.regexp_extract_all(normal, F.lit(DATE_TOKEN), F.lit(k))
+    def group(token: Column, k: int) -> Column:
+        return F.regexp_extract(token, DATE_TOKEN, k)
 
-    def date(m: Column, d: Column) -> Column:
-        return F.concat(number(m).cast("string"), F.lit("/"), number(d).cast("string"))
+    def date(token: Column) -> Column:
+        return F.concat(number(group(token, 1)).cast("string"), F.lit("/"), number(group(token, 2)).cast("string"))
 
-    return F.transform(F.arrays_zip(group(1).alias("m"), group(2).alias("d"), group(3).alias("code")), lambda t: F.struct(date(t["m"], t["d"]).alias("date"), t["code"].alias("code")))
+    # A token alone is matched as it was in its value: the long text is searched once.
+    found = F.regexp_extract_all(normal, F.lit(DATE_TOKEN), F.lit(0))
+    return F.transform(found, lambda t: F.struct(date(t).alias("date"), group(t, 3).alias("code")))
 
 
 def date_rest(normal: Column) -> Column:
@@ -132,13 +134,18 @@ def split_dates(normal_values: Column) -> Column:
     The first date of all goes to first, its code to notes; later dates with
     their codes, and what else the values hold, go to notes, in order.
     """
-    tokens = F.transform(normal_values, lambda v: F.struct(date_tokens(v).alias("tokens"), date_rest(v).alias("rest")))
-    dates = F.flatten(F.transform(tokens, lambda t: t["tokens"]))
+    values = F.transform(normal_values, lambda v: F.struct(date_tokens(v).alias("tokens"), date_rest(v).alias("rest")))
+    # Bound as a lambda's variable: a plain column would be computed for each use.
+    return F.get(F.transform(F.array(values), _first_and_notes), F.lit(0))
+
+
+def _first_and_notes(values: Column) -> Column:
+    dates = F.flatten(F.transform(values, lambda t: t["tokens"]))
     first = F.coalesce(F.get(dates, F.lit(0))["date"], F.lit(""))
-    lead = F.array_position(F.transform(tokens, lambda t: F.size(t["tokens"]) > 0), F.lit(True)) - 1
+    lead = F.array_position(F.transform(values, lambda t: F.size(t["tokens"]) > 0), F.lit(True)) - 1
 
     def notes(t: Column, i: Column) -> Column:
         said = F.transform(t["tokens"], lambda d, j: F.when((i == lead) & (j == 0), d["code"]).otherwise(F.concat(d["date"], d["code"])))
         return F.filter(F.concat(said, F.array(t["rest"])), lambda x: x != "")
 
-    return F.struct(first.alias("first"), F.flatten(F.transform(tokens, notes)).alias("notes"))
+    return F.struct(first.alias("first"), F.flatten(F.transform(values, notes)).alias("notes"))

@@ -75,11 +75,24 @@ def to_data_url(mime: Column, data: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(data), r"\s", ""))
 
 
+def _if_inline(part: Column, value: Column) -> Column:
+    return F.when((part["type"] == "file") & F.startswith(part["file"]["file_data"], F.lit("data:")), value)
+
+
+def file_name(part: Column) -> Column:
+    """The name of a file part with inline data, or null; nothing is decoded."""
+    return _if_inline(part, F.coalesce(F.nullif(part["file"]["filename"], F.lit("")), F.lit("document")))
+
+
+def file_mime(part: Column) -> Column:
+    """The type of a file part with inline data, or null; nothing is decoded."""
+    return _if_inline(part, data_url_mime(part["file"]["file_data"]))
+
+
 def file_payload(part: Column) -> Column:
     """struct<name, mime, data> of a file part with inline data, or null."""
-    url = part["file"]["file_data"]
-    inline = (part["type"] == "file") & F.startswith(url, F.lit("data:"))
-    return F.when(inline, F.struct(F.coalesce(F.nullif(part["file"]["filename"], F.lit("")), F.lit("document")).alias("name"), data_url_mime(url).alias("mime"), data_url_bytes(url).alias("data")))
+    data = data_url_bytes(part["file"]["file_data"])
+    return _if_inline(part, F.struct(file_name(part).alias("name"), file_mime(part).alias("mime"), data.alias("data")))
 
 
 def file_text(name: Column, data: Column) -> Column:
@@ -159,8 +172,7 @@ def recognition_jobs(requests: DataFrame, *, key: str = "doc", messages: str = "
     text = message_text(F.col("parts"))
     base = requests.select(key, parts.alias("parts")).where("parts is not null")
     base = base.select(key, "parts", requested_pages(text).alias("pages"), task_prompt(text).alias("prompt"))
-    payloads = F.transform("parts", file_payload)
-    stems = F.filter(F.transform(payloads, lambda f: file_stem(f["name"])), lambda s: F.coalesce(s != "", F.lit(False)))
+    stems = F.filter(F.transform("parts", lambda p: file_stem(file_name(p))), lambda s: F.coalesce(s != "", F.lit(False)))
     base = base.withColumn("source", F.coalesce(F.get(stems, F.size(stems) - 1), F.lit("ocr")))
     rows = base.select(key, "pages", "prompt", "source", F.posexplode("parts").alias("ord", "part")).withColumn("payload", file_payload(F.col("part")))
     mime = F.col("payload.mime")
@@ -171,7 +183,7 @@ def recognition_jobs(requests: DataFrame, *, key: str = "doc", messages: str = "
 
 def has_jobs(messages: Column) -> Column:
     def one(p: Column) -> Column:
-        mime = file_payload(p)["mime"]
+        mime = file_mime(p)
         return (p["type"] == "image_url") | F.coalesce((mime == "application/pdf") | F.startswith(mime, F.lit("image/")), F.lit(False))
 
     return F.coalesce(F.exists(last_user_parts(messages), one), F.lit(False))

@@ -21,8 +21,16 @@ from tablewright.functions.values import CELL_TYPES, is_date, kind_of
 from tablewright.operators.merge import batch_of, value_of
 
 
+#: What a service raises that refuses, can't be reached, or answers in no form that can be read.
+NO_ANSWER = (RuntimeError, OSError, ValueError)
+
+
 class Reshaper(Protocol):
-    """One output row (with its src) for each input row; values only from the row."""
+    """One output row (with its src) for each input row; values only from the row.
+
+    A call without an answer raises one of NO_ANSWER; other errors are faults,
+    and end the job.
+    """
 
     def reshape(self, template: list[str], columns: list[str], rows: list[tuple[int, list[str]]]) -> list[dict]:
         ...
@@ -35,7 +43,7 @@ class RuleReshaper:
     TAKES = {"postal": ("郵便番号",), "phone": ("電話番号",), "date": ("日付",), "住所": ("住所",), "氏名": ("氏名", "名前"), "名前": ("氏名", "名前")}
 
     def __init__(self):
-        self.types = [(name, re.compile(pattern.replace(r"\x{4E00}", "一").replace(r"\x{9FFF}", "鿿"))) for name, pattern in CELL_TYPES]
+        self.types = [(name, re.compile(pattern)) for name, pattern in CELL_TYPES]
 
     def _type(self, value: str) -> str | None:
         v = value.strip()
@@ -89,7 +97,7 @@ def reshape(source: DataFrame, columns: DataFrame, template: list[str], service:
                 wanted = {src for src, _ in rows}
                 try:
                     answers = list(service.reshape(no_dates if call["by_rule"] else list(template), call["columns"], rows))
-                except Exception:  # a failing batch costs its own rows only; they fall back
+                except NO_ANSWER:  # costs this batch's rows only; they fall back
                     answers = []
                 for src, a in {a["src"]: a for a in answers if a.get("src") in wanted}.items():
                     at.append(k)

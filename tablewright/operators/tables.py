@@ -27,6 +27,14 @@ def header_row(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.forall(F.get(rows, F.lit(0)), lambda c: c["header"])).otherwise(F.lit(False))
 
 
+def header_rows(rows: Column) -> Column:
+    """Positions (from 0) of the rows that have cells, and only header cells."""
+    def place(row: Column, i: Column) -> Column:
+        return F.when((F.size(row) > 0) & F.forall(row, lambda c: c["header"]), i)
+
+    return F.filter(F.transform(rows, place), lambda i: i.isNotNull())
+
+
 def add_headers(tables: DataFrame, keys: list[str]) -> DataFrame:
     """Tables that lack a header get an inferred one as their first row, where one is found.
 

@@ -204,12 +204,13 @@ def stream_lines(spark, sf):
     line = F.when(k % 3 == 0, text(": ping")).when(k % 3 == 1, text('data: {"choices":[{"delta":{"content":"d', k, '"}},{"delta":{}}]}')).otherwise(text('data: {"choices":[],"usage":{"prompt_tokens":', k % 9, ',"completion_tokens":1,"total_tokens":2}}'))
     lines = e.select(F.col("user_id").alias("stream_id"), k.alias("seq"), line.alias("line"), F.when(F.col("user_id") % 10 == 0, 500).otherwise(200).alias("status"))
     out = sse_deltas(lines, status="status")
-    return out.select("stream_id", "seq", F.when(F.col("stream_id") % 10 == 0, F.substring("delta", 1, 12)).otherwise(F.col("delta")).alias("delta"), F.col("usage.prompt_tokens").alias("prompt_tokens"))
+    return out.select("stream_id", "seq", "delta", F.col("usage.prompt_tokens").alias("prompt_tokens"))
 
 
 _LINES_SQL = """
 SELECT user_id AS stream_id, event_id AS seq, CASE event_id % 3 WHEN 1 THEN 'd' || event_id ELSE '' END AS delta, CASE event_id % 3 WHEN 2 THEN event_id % 9 END AS prompt_tokens FROM events WHERE user_id % 10 <> 0 AND event_id % 3 > 0
-UNION ALL SELECT user_id, min(event_id), '[OCR error: ', NULL FROM events WHERE user_id % 10 = 0 GROUP BY 1
+UNION ALL SELECT user_id, min(event_id), '[OCR error: ' || string_agg(CASE event_id % 3 WHEN 0 THEN ': ping' WHEN 1 THEN 'data: {"choices":[{"delta":{"content":"d' || event_id || '"}},{"delta":{}}]}'
+  ELSE 'data: {"choices":[],"usage":{"prompt_tokens":' || event_id % 9 || ',"completion_tokens":1,"total_tokens":2}}' END, chr(10) ORDER BY event_id) || ']', NULL FROM events WHERE user_id % 10 = 0 GROUP BY 1
 """
 
 
@@ -224,14 +225,14 @@ def stream_cut(spark, sf):
 def stream_answer(spark, sf):
     t = table(spark, sf, "conversations").where("text is not null")
     usage = F.struct(F.lit(1).cast("long").alias("prompt_tokens"), F.lit(2).cast("long").alias("completion_tokens"), F.lit(3).cast("long").alias("total_tokens"))
-    pieces = t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), text("t", F.col("turn")).alias("text"), F.lit("m").alias("model"), F.lit(7).cast("long").alias("created"), (F.col("conv_id") % 2 == 0).alias("include_usage"), usage.alias("usage"))
+    pieces = t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), "text", F.lit("m").alias("model"), F.lit(7).cast("long").alias("created"), (F.col("conv_id") % 2 == 0).alias("include_usage"), usage.alias("usage"))
     return report.stream_answer(pieces)
 
 
 _HEAD = "'data: {\"id\":\"' || conv_id || '\",\"object\":\"chat.completion.chunk\",\"created\":7,\"model\":\"m\",\"choices\":['"
 _STREAM_SQL = f"""
 SELECT conv_id AS doc, {_HEAD} || '{{"index":0,"delta":{{"role":"assistant","content":""}}}}]}}' || chr(10) || chr(10)
-  || string_agg({_HEAD} || '{{"index":0,"delta":{{"content":"t' || turn || '"}}}}]}}' || chr(10) || chr(10), '' ORDER BY turn)
+  || string_agg({_HEAD} || '{{"index":0,"delta":{{"content":' || to_json(text) || '}}}}]}}' || chr(10) || chr(10), '' ORDER BY turn)
   || {_HEAD} || '{{"index":0,"delta":{{}},"finish_reason":"stop"}}]}}' || chr(10) || chr(10)
   || CASE WHEN conv_id % 2 = 0 THEN {_HEAD} || '],"usage":{{"prompt_tokens":1,"completion_tokens":2,"total_tokens":3}}}}' || chr(10) || chr(10) ELSE '' END || 'data: [DONE]' || chr(10) || chr(10) AS answer
 FROM conversations WHERE text IS NOT NULL GROUP BY conv_id
@@ -241,12 +242,12 @@ FROM conversations WHERE text IS NOT NULL GROUP BY conv_id
 def full_answer(spark, sf):
     t = table(spark, sf, "conversations").where("text is not null")
     usage = F.struct(F.lit(1).cast("long").alias("prompt_tokens"))
-    pieces = t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), text("t", F.col("turn")).alias("text"), F.lit("m").alias("model"), F.lit(7).cast("long").alias("created"), usage.alias("usage"))
+    pieces = t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), "text", F.lit("m").alias("model"), F.lit(7).cast("long").alias("created"), usage.alias("usage"))
     return report.full_answer(pieces)
 
 
 _FULL_SQL = """
-SELECT conv_id AS doc, '{"id":"' || conv_id || '","object":"chat.completion","created":7,"model":"m","choices":[{"index":0,"message":{"role":"assistant","content":"' || string_agg('t' || turn, '' ORDER BY turn) || '"},"finish_reason":"stop"}],"usage":{"prompt_tokens":1}}' AS answer
+SELECT conv_id AS doc, '{"id":"' || conv_id || '","object":"chat.completion","created":7,"model":"m","choices":[{"index":0,"message":{"role":"assistant","content":' || to_json(string_agg(text, '' ORDER BY turn)) || '},"finish_reason":"stop"}],"usage":{"prompt_tokens":1}}' AS answer
 FROM conversations WHERE text IS NOT NULL GROUP BY conv_id
 """
 
@@ -269,27 +270,29 @@ _NEWEST_SQL = "SELECT event_id AS key, value AS used FROM events ORDER BY value
 
 
 def xlsx_roundtrip(spark, sf):
-    """Workbooks of the regions' nations, written by the sink and read back: (doc, rows)."""
+    """Workbooks of the regions' nations, written by the sink and read back: (doc, rows, cells)."""
     spark.dataSource.register(XlsxSink)
     n = table(spark, sf, "nation")
     g = n.groupBy(F.col("n_regionkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
     grid = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("l", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])))
     sheet = F.struct(F.lit("nations").alias("title"), grid.alias("grid"), F.array().cast("array<struct<r1:int,c1:int,r2:int,c2:int>>").alias("merges"), F.lit(True).alias("header"))
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = os.path.join((shared or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:"), f"xlsx-{uuid.uuid4().hex}")
     g.select(text("region ", F.col("doc")).alias("name"), F.array(sheet).alias("sheets")).write.format("xlsx").mode("append").save(folder)
     files = spark.read.format("binaryFile").load(f"file:{folder}/*.xlsx")
 
-
-    def count(batches):
+    def read(batches):
         for batch in batches:
-            rows = [len(read_values(io.BytesIO(b))["nations"]) - 1 for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64())], ["doc", "rows"])
+            sheets = [read_values(io.BytesIO(b))["nations"] for b in batch.column(1).to_pylist()]
+            cells = ["|".join(",".join(row) for row in sheet) for sheet in sheets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) - 1 for s in sheets], pa.int64()), pa.array(cells, pa.string())], ["doc", "rows", "cells"])
 
-    return files.select(F.regexp_extract("path", r"region(?:%20| |_)(\d+)\.xlsx$", 1).cast("int").alias("doc"), "content").mapInArrow(count, "doc int, rows long")
+    return files.select(F.regexp_extract("path", r"region(?:%20| |_)(\d+)\.xlsx$", 1).cast("int").alias("doc"), "content").mapInArrow(read, "doc int, rows long, cells string")
 
 
-_XLSX_SQL = "SELECT n_regionkey AS doc, count(*) AS rows FROM nation GROUP BY 1"
+_XLSX_SQL = "SELECT n_regionkey AS doc, count(*) AS rows, 'key,name|' || string_agg(n_nationkey || ',' || n_name, '|' ORDER BY n_nationkey) AS cells FROM nation GROUP BY 1"
 
 ALL = {
     "format_flagship": (format_flagship, _FLAGSHIP_SQL), "audit_issues": (audit_issues, _ISSUES_SQL), "issue_counts": (issue_counts, _COUNTS_SQL), "result_markdown": (result_markdown, _RESULT_SQL),

@@ -9,7 +9,7 @@ from tablewright.functions import values as vl
 from tablewright.functions.cells import parse_table, table_grid
 from tablewright.operators.headers import classify_columns, infer_headers, label_columns, long_grid, looks_like_header
 from tablewright.operators.merge import batch_of, row_text, source_columns, source_rows
-from tablewright.operators.tables import add_headers, convert_tables, extract_tables, row_estimate, sheet_names, sheet_titles, table_markdown
+from tablewright.operators.tables import add_headers, convert_tables, extract_tables, header_rows, row_estimate, sheet_names, sheet_titles, table_markdown
 from tablewright.plans.inputs import joined, pad, table, text
 
 
@@ -277,10 +277,24 @@ WITH n AS (SELECT n_regionkey AS doc, n_name, row_number() OVER (PARTITION BY n_
 SELECT DISTINCT doc, 0 AS table_no, 0 AS r, 1 AS c, 'N < K' AS value FROM n UNION ALL SELECT doc, 0, r, 1, n_name FROM n
 """
 
+def sheet_header_rows(spark, sf):
+    """Rows of header cells only, wherever they stand: those that a sheet prints bold."""
+    k = F.col("p_partkey")
+    head = F.concat(F.lit("<tr><th>"), F.col("p_brand"), F.lit("</th><th>n</th></tr>"))
+    body = F.concat(F.lit("<tr><th>row</th><td>"), k.cast("string"), F.lit("</td></tr>"))
+    html = F.concat(F.lit("<table>"), F.when(k % 2 == 0, head).otherwise(""), body, F.when(k % 3 == 0, head).otherwise(""), body, F.lit("</table>"))
+    tables = extract_tables(table(spark, sf, "part").select("p_partkey", html.alias("text")), ["p_partkey"])
+    return tables.select("p_partkey", joined(header_rows(F.col("rows"))).alias("header_rows"))
+
+
+_BOLD_SQL = """
+SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN '0,2' WHEN p_partkey % 2 = 0 THEN '0' WHEN p_partkey % 3 = 0 THEN '1' ELSE '' END AS header_rows FROM part
+"""
+
 ALL = {
     "loop_detect": (loop_detect, _LOOP_SQL), "loop_start": (loop_start, _START_SQL), "wide_text": (wide_text, _WIDE_SQL), "canonical": (canonical, _CANON_SQL), "tidy_values": (tidy_values, _TIDY_SQL),
     "split_dates": (split_dates, _SPLIT_SQL), "typed_values": (typed_values, _TYPED_SQL), "missing_chars": (missing_chars, _MISSING_SQL), "html_grid": (html_grid, _GRID_SQL),
     "span_blocks": (span_blocks, _SPANS_SQL), "table_markdown": (table_text, _MD_SQL), "convert_tables": (convert_text, _CONVERT_SQL), "row_estimate": (estimates, _ESTIMATE_SQL),
     "classify_columns": (column_types, _TYPES_SQL), "infer_headers": (inferred_headers, _INFER_SQL), "add_headers": (add_header_rows, _ADD_SQL), "merge_pages": (merge_pages, _MERGE_SQL),
-    "source_columns": (merged_columns, _COLUMNS_SQL), "sheet_titles": (titles, _TITLES_SQL), "sql_functions": (sql_functions, _SQL_SQL),
+    "source_columns": (merged_columns, _COLUMNS_SQL), "sheet_titles": (titles, _TITLES_SQL), "sql_functions": (sql_functions, _SQL_SQL), "sheet_header_rows": (sheet_header_rows, _BOLD_SQL),
 }

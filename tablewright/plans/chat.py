@@ -149,12 +149,12 @@ _FILES_SQL = "SELECT o_orderkey, o_orderkey % 10 IN (2, 5, 6, 8) AS files FROM o
 def recognition_jobs(spark, sf):
     docs = _parsed(spark, sf).select(F.col("o_orderkey").alias("doc"), F.col("r.messages").alias("messages"))
     jobs = rq.recognition_jobs(docs)
-    return jobs.select("doc", F.col("ord").cast("long").alias("ord"), "kind", "url", F.length("data").cast("long").alias("bytes"), joined(F.col("pages")).alias("pages"), "prompt", "source")
+    return jobs.select("doc", F.col("ord").cast("long").alias("ord"), "kind", "url", F.decode("data", "utf-8").alias("said"), joined(F.col("pages")).alias("pages"), "prompt", "source")
 
 
 _JOBS_SQL = """
 SELECT o_orderkey AS doc, CAST(CASE WHEN k IN (4, 9) THEN 0 ELSE 1 END AS BIGINT) AS ord, CASE WHEN k IN (2, 6) THEN 'pdf' ELSE 'image' END AS kind,
-  CASE WHEN k IN (4, 9) THEN 'data:image/png;base64,AAAA' END AS url, CAST(CASE WHEN k IN (2, 6) THEN 4 END AS BIGINT) AS bytes,
+  CASE WHEN k IN (4, 9) THEN 'data:image/png;base64,AAAA' END AS url, CASE WHEN k IN (2, 6) THEN '%PDF' END AS said,
   CASE WHEN k <> 9 THEN '2' END AS pages, CASE WHEN k = 9 THEN 'Text Recognition:' ELSE 'Table Recognition:' END AS prompt, CASE WHEN k IN (2, 6) THEN 'scan.v1' ELSE 'ocr' END AS source
 FROM (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders) WHERE k IN (2, 4, 6, 9)
 """

@@ -10,6 +10,7 @@ import io
 import os
 import re
 import zipfile
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 from xml.sax.saxutils import escape
@@ -194,7 +195,10 @@ class XlsxSink(DataSource):
     """df.write.format("xlsx").save(folder): a workbook for each row.
 
     The frame has ``name`` and ``sheets`` (array of struct<title, grid, merges,
-    header>); workbooks go to the folder, which all executors must share.
+    header>, and perhaps header_rows, the rows of ``tables.header_rows``; without
+    them, header tells whether the first row is one). Workbooks go to the folder,
+    which all executors must share. Names that are equal once made safe for files
+    are an error, as one workbook would stand for all of them.
     """
 
     @classmethod
@@ -205,9 +209,15 @@ class XlsxSink(DataSource):
         return _XlsxWriter(self.options["path"])
 
 
+def _header_rows(sheet) -> set[int]:
+    if "header_rows" in sheet:
+        return set(sheet["header_rows"] or [])
+    return {0} if sheet["header"] else set()
+
+
 @dataclass
 class _Written(WriterCommitMessage):
-    files: int
+    names: list[str]
 
 
 class _XlsxWriter(DataSourceWriter):
@@ -216,21 +226,26 @@ class _XlsxWriter(DataSourceWriter):
 
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
-        n = 0
+        names: list[str] = []
         for row in rows:
-            sheets = [table_sheet(s["title"], s["grid"], [m.asDict() if hasattr(m, "asDict") else m for m in s["merges"] or []], {0} if s["header"] else set()) for s in row["sheets"]]
+            sheets = [
+                table_sheet(s["title"], s["grid"], [m.asDict() if hasattr(m, "asDict") else m for m in s["merges"] or []], _header_rows(s))
+                for s in row["sheets"]]
             buffer = io.BytesIO()
             write_sheets(buffer, sheets)
             name = safe_name(row["name"]) + ".xlsx"
-            part = os.path.join(self.path, f".{name}.{os.getpid()}.{n}")
+            part = os.path.join(self.path, f".{name}.{os.getpid()}.{len(names)}")
             with open(part, "wb") as f:
                 f.write(buffer.getvalue())
             os.replace(part, os.path.join(self.path, name))  # a task that runs again writes the same file
-            n += 1
-        return _Written(n)
+            names.append(name)
+        return _Written(names)
 
     def commit(self, messages):
-        pass
+        count = Counter(name for m in messages if m for name in m.names)
+        clash = sorted(name for name, n in count.items() if n > 1)
+        if clash:
+            raise ValueError(f"{len(clash)} names stand for several workbooks: {', '.join(clash[:5])}")
 
     def abort(self, messages):
         pass

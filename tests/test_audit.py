@@ -1,5 +1,6 @@
 """Reshaping and audit, from tables to issues."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.config import NOTES, Settings
@@ -95,3 +96,16 @@ def test_parse_answer(spark):
     df = spark.createDataFrame([('{"rows":[{"src":3,"a":"x"}]}',), ("{bad",)], "j string")
     got = [r.x for r in df.select(parse_answer(F.col("j"), ["a"]).alias("x")).collect()]
     assert (got[0][0].src, got[0][0].a, got[1]) == (3, "x", None)
+
+
+class Broken(RuleReshaper):
+    def reshape(self, template, columns, rows):
+        raise KeyError("a fault of the service's code")
+
+
+def test_faults_of_a_service_end_the_job(spark):
+    cells = [{"header": "x", "value": "1"}]
+    source = spark.createDataFrame([(1, 0, cells)], "doc long, idx long, cells array<struct<header:string,value:string>>")
+    columns = spark.createDataFrame([(1, ["x"])], "doc long, columns array<string>")
+    with pytest.raises(Exception, match="a fault of the service"):
+        reshape(source, columns, ["x"], Broken()).collect()

@@ -3,6 +3,7 @@
 import json
 import os
 import time
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,18 @@ def test_entry_and_oracles(spark):
         want = sorted(tuple(plain(v) for v in (row[names.index(c)] for c in sorted(names))) for row in result.fetchall())
         got = sorted(tuple(plain(r[c]) for c in sorted(names)) for r in frame.collect())
         assert sorted(frame.columns) == sorted(names) and got == want, name
+
+
+SHEETS = "name string, sheets array<struct<title:string,grid:array<array<string>>,merges:array<struct<r1:int,c1:int,r2:int,c2:int>>,header:boolean,header_rows:array<int>>>"
+
+
+def test_sink_header_rows_and_names(spark, tmp_path):
+    spark.dataSource.register(xlsx.XlsxSink)
+    sheet = ("t", [["a", "b"], ["1", "x"], ["c", "d"]], [], True, [0, 2])
+    spark.createDataFrame([("one/two", [sheet])], SHEETS).write.format("xlsx").mode("append").save(str(tmp_path / "fine"))
+    with zipfile.ZipFile(tmp_path / "fine" / "one_two.xlsx") as z:
+        page = z.read("xl/worksheets/sheet1.xml").decode()
+    style = {ref: page.split(f'r="{ref}" s="')[1].split('"')[0] for ref in ("A1", "A2", "A3")}
+    assert style["A1"] == style["A3"] != style["A2"]
+    with pytest.raises(Exception, match="stand for several workbooks"):
+        spark.createDataFrame([("a/b", [sheet]), ("a:b", [sheet])], SHEETS).write.format("xlsx").mode("append").save(str(tmp_path / "clash"))
