@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.config import MARKS
+from tablewright.operators.tables import header_rows, sheet_names
 
 
 def _mark(kind: Column) -> Column:
@@ -58,6 +59,24 @@ def issue_counts(issues: DataFrame, documents: DataFrame, *, doc: str = "doc") -
     return documents.select(doc).distinct().join(per, doc, "left").select(doc, F.coalesce(F.nullif(F.array_join(said, "・"), F.lit("")), F.lit("なし")).alias("summary"))
 
 
+def workbooks(audited: DataFrame, tables: DataFrame, *, doc: str = "doc") -> DataFrame:
+    """(doc, result, sheets): what the spreadsheet sink needs for a workbook of each document.
+
+    result: columns, rows and issues of the audited rows, in order. sheets: the
+    document's tables as they were recognised (doc, page, table_no, rows, grid,
+    merges, header), those without a row left out (null if there is none). A workbook is one row, as it
+    is one file; documents are spread over tasks.
+    """
+    row = F.array_sort(F.collect_list(F.struct("n", "values", "issues")))
+    listed = F.flatten(F.transform("r", lambda x: F.transform(x["issues"], lambda i: F.struct(x["n"].cast("int").alias("row"), i["column"].alias("column"), i["kind"].alias("kind"), i["detail"].alias("detail")))))
+    result = F.struct("columns", F.transform("r", lambda x: x["values"]).alias("rows"), listed.alias("issues"))
+    results = audited.groupBy(doc).agg(F.max("columns").alias("columns"), row.alias("r")).select(doc, result.alias("result"))
+    named = sheet_names(tables.where(F.size("grid") > 0), [doc, "page"], prefix="P")
+    sheet = F.struct(F.concat(F.lit("OCR原本_"), "sheet").alias("title"), "grid", "merges", "header", header_rows(F.col("rows")).alias("header_rows"))
+    originals = named.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page", "table_no", sheet.alias("s")))).alias("l"))
+    return results.join(originals, doc, "left").select(doc, "result", F.transform("l", lambda x: x["s"]).alias("sheets"))
+
+
 def progress_lines(pages: DataFrame, batches: DataFrame, *, doc: str = "doc") -> DataFrame:
     """(doc, seq, line): a line for each page read and for each batch shaped, in order.
 

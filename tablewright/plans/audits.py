@@ -15,11 +15,13 @@ from tablewright.operators import report
 from tablewright.operators.audit import audit, issue_rows, template_rows
 from tablewright.operators.cache import newest
 from tablewright.operators.merge import batch_of, source_columns, source_rows
+from tablewright.operators.pages import is_scan, needs_recognition
 from tablewright.operators.reshape import RuleReshaper, last_answers, parse_answer, reshape
 from tablewright.operators.tables import extract_tables, row_estimate
 from tablewright.plans.inputs import joined, pad, table, text
 from tablewright.sinks.exports import expired, may_download
-from tablewright.sinks.xlsx import XlsxSink, read_values
+from tablewright.sinks.xlsx import XlsxSink, read_notes, read_values
+from tablewright.sources.pages import TextPages, page_jobs, read_pages
 from tablewright.streaming.recognition import cut_streams, sse_deltas
 
 TEMPLATE = ["日付", "番号", "郵便番号", "電話番号"]
@@ -61,11 +63,15 @@ def recognised_pages(spark, sf):
     return g.select("doc", "page", F.concat(F.lit("page text\n" + head), F.array_join(F.transform("rows", lambda x: x["row"]), ""), F.lit("</table>")).alias("text"))
 
 
-def _audited(spark, sf):
+def _tables(spark, sf):
     # One shuffle by document: windows, batches and joins below all go by it. The
     # tables feed the rows, the columns and both joins, and are parsed once.
     pages = recognised_pages(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
-    tables = extract_tables(pages, ["doc", "page"]).persist()
+    return extract_tables(pages, ["doc", "page"]).persist()
+
+
+def _audited(spark, sf, tables=None):
+    tables = _tables(spark, sf) if tables is None else tables
     columns, rows = source_columns(tables), source_rows(tables)
     shaped = reshape(rows, columns, TEMPLATE, SeededReshaper())
     return audit(rows, shaped, TEMPLATE, columns)
@@ -219,7 +225,21 @@ def stream_cut(spark, sf):
     d = table(spark, sf, "documents").where("text is not null")
     n = F.greatest(F.ceil(F.length("text") / 50), F.lit(1))
     deltas = d.select(F.col("doc_id").alias("stream_id"), "text", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("seq")).select("stream_id", "seq", F.substring(F.col("text"), F.col("seq").cast("int") * 50 + 1, F.lit(50)).alias("delta"))
-    return cut_streams(deltas).select("stream_id", F.length("text").cast("long").alias("n_chars"))
+    return cut_streams(deltas).select("stream_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+# Every prefix that ends with a delta is tested: the first one with a loop ends the stream. The
+# cut goes back copy by copy, but not behind what was sent before (600 characters behind).
+_CUT_SQL = """
+WITH d AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, text, e, greatest(0, e - 50 - 600) AS sent, substr(text, greatest(0, e - 600) + 1, least(e, 600)) AS tail
+  FROM (SELECT doc_id, text, least(n, 50 * unnest(range(1, n // 50 + 2))) AS e, n FROM d) WHERE e >= 300),
+f AS (SELECT doc_id, text, e, sent, list_filter(range(1, 61), lambda k: length(tail) >= k * greatest(10, (299 + k) // k)
+    AND right(tail, k * greatest(10, (299 + k) // k)) = repeat(right(tail, k), greatest(10, (299 + k) // k)))[1] AS k FROM p),
+c AS (SELECT doc_id, min(e) AS e, arg_min(sent, e) AS sent, arg_min(k, e) AS k FROM f WHERE k IS NOT NULL GROUP BY doc_id),
+b AS (SELECT c.doc_id, greatest(c.sent, c.e - c.k * coalesce(list_filter(range(1, c.e // c.k + 1), lambda i: substr(d.text, c.e - i * c.k + 1, c.k) <> substr(d.text, c.e - c.k + 1, c.k))[1] - 1, c.e // c.k)) AS cut FROM c JOIN d ON d.doc_id = c.doc_id)
+SELECT d.doc_id AS stream_id, coalesce(b.cut, d.n) AS n_chars, md5(left(d.text, coalesce(b.cut, d.n))) AS md5 FROM d LEFT JOIN b ON b.doc_id = d.doc_id
+"""
 
 
 def stream_answer(spark, sf):
@@ -269,19 +289,24 @@ def newest_entries(spark, sf):
 _NEWEST_SQL = "SELECT event_id AS key, value AS used FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 64"
 
 
+def _written(spark, books):
+    """Files of workbooks that the sink wrote to the shared folder."""
+    spark.dataSource.register(XlsxSink)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = os.path.join((shared or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:"), f"xlsx-{uuid.uuid4().hex}")
+    books.write.format("xlsx").mode("append").save(folder)
+    return spark.read.format("binaryFile").load(f"file:{folder}/*.xlsx")
+
+
 def xlsx_roundtrip(spark, sf):
     """Workbooks of the regions' nations, written by the sink and read back: (doc, rows, cells)."""
-    spark.dataSource.register(XlsxSink)
     n = table(spark, sf, "nation")
     g = n.groupBy(F.col("n_regionkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
     grid = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("l", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])))
     sheet = F.struct(F.lit("nations").alias("title"), grid.alias("grid"), F.array().cast("array<struct<r1:int,c1:int,r2:int,c2:int>>").alias("merges"), F.lit(True).alias("header"))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = os.path.join((shared or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:"), f"xlsx-{uuid.uuid4().hex}")
-    g.select(text("region ", F.col("doc")).alias("name"), F.array(sheet).alias("sheets")).write.format("xlsx").mode("append").save(folder)
-    files = spark.read.format("binaryFile").load(f"file:{folder}/*.xlsx")
+    files = _written(spark, g.select(text("region ", F.col("doc")).alias("name"), F.array(sheet).alias("sheets")))
 
     def read(batches):
         for batch in batches:
@@ -294,9 +319,89 @@ def xlsx_roundtrip(spark, sf):
 
 _XLSX_SQL = "SELECT n_regionkey AS doc, count(*) AS rows, 'key,name|' || string_agg(n_nationkey || ',' || n_name, '|' ORDER BY n_nationkey) AS cells FROM nation GROUP BY 1"
 
+
+
+def result_workbook(spark, sf):
+    """A workbook for each document, read back: its rows, issues, comments and original tables."""
+    tables = _tables(spark, sf)
+    books = report.workbooks(_audited(spark, sf, tables), tables)
+    files = _written(spark, books.select(text("d", F.col("doc")).alias("name"), "result", "sheets"))
+
+    def read(batches):
+        for batch in batches:
+            out = []
+            for data in batch.column(1).to_pylist():
+                sheets, notes = read_values(io.BytesIO(data)), read_notes(io.BytesIO(data))
+                main, listed, *originals = sheets.values()
+                out.append((
+                    "\n".join("|".join(row) for row in main), "\n".join(",".join(row[:3]) for row in listed),
+                    ",".join(f"{at}:{note.split(':')[0]}" for at, note in sorted(notes.items(), key=lambda n: (int(n[0][1:]), n[0][0]))),
+                    ",".join(list(sheets)[2:]), sum(len(rows) for rows in originals)))
+            columns = [pa.array(c, pa.int64() if k == 4 else pa.string()) for k, c in enumerate(zip(*out))] if out else [pa.array([], t) for t in [pa.string()] * 4 + [pa.int64()]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "main", "listed", "notes", "originals", "original_rows"])
+
+    return files.select(F.regexp_extract("path", r"d(\d+)\.xlsx$", 1).cast("long").alias("doc"), "content").mapInArrow(read, "doc long, main string, listed string, notes string, originals string, original_rows long")
+
+
+_BOOK_SQL = _ROWS + "," + _ISSUES + f""",
+m AS ({_FLAGSHIP_SQL.removeprefix(_ROWS)}),
+a AS (SELECT doc, n, "column", arg_max(kind, seq) AS kind, CASE "column" WHEN '日付' THEN 'A' WHEN '番号' THEN 'B' WHEN '郵便番号' THEN 'C' WHEN '電話番号' THEN 'D' ELSE 'E' END || (n + 1) AS place FROM i GROUP BY 1, 2, 3),
+pages AS (SELECT doc, string_agg('OCR原本_P' || page, ',' ORDER BY page) AS originals, CAST(sum(c + 1) AS BIGINT) AS original_rows FROM (SELECT doc, page, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY 1)
+SELECT m.doc, replace(max(m.columns), ',', '|') || chr(10) || string_agg(m.row, chr(10) ORDER BY m.n) AS main,
+  any_value('行,列,種類' || coalesce(chr(10) || l.listed, '')) AS listed, any_value(coalesce(x.notes, '')) AS notes, any_value(pages.originals) AS originals, any_value(pages.original_rows) AS original_rows
+FROM m JOIN pages ON pages.doc = m.doc LEFT JOIN (SELECT doc, string_agg(n || ',' || "column" || ',' || kind, chr(10) ORDER BY n, seq) AS listed FROM i GROUP BY 1) l ON l.doc = m.doc
+LEFT JOIN (SELECT doc, string_agg(place || ':' || kind, ',' ORDER BY n, place) AS notes FROM a GROUP BY 1) x ON x.doc = m.doc GROUP BY m.doc
+"""
+
+
+class ScannedPages(TextPages):
+    """A stand-in for PDFs: even pages are scans; a page's image is its text's bytes."""
+
+    def read(self, data, pages, images):
+        for page in super().read(data, pages, images):
+            shown = page["text"].encode()
+            covered = [{"x0": 0.0, "y0": 0.0, "x1": 10.0, "y1": 6.0}] if page["page"] % 2 == 0 else []
+            yield {**page, "text": "scanner's text" if covered else page["text"], "width": 10.0, "height": 10.0, "boxes": covered, "png": shown if images else None}
+
+
+def pages_to_rows(spark, sf):
+    """Documents of pages to rows of their tables: pages read, scans recognised, tables parsed and merged."""
+    pages = F.array_sort(F.collect_list(F.struct("page", "text")))
+    files = recognised_pages(spark, sf).groupBy("doc").agg(F.encode(F.array_join(F.transform(pages, lambda p: p["text"]), "\f"), "utf-8").alias("data"))
+    read = read_pages(files, ScannedPages(), images=True)
+    scan = is_scan(F.col("boxes"), F.col("width"), F.col("height"))
+    said = F.when(needs_recognition(F.col("text"), scan), F.decode("png", "utf-8")).otherwise(F.col("text"))
+    rows = source_rows(extract_tables(read.select("doc", "page", said.alias("text")), ["doc", "page"]))
+    return rows.select("doc", (F.col("idx") + 1).alias("n"), F.col("page").cast("long").alias("page"), joined(F.transform("cells", lambda c: c["value"]), "|").alias("row"))
+
+
+_PAGES_SQL = _ROWS + """
+SELECT doc, n, dense_rank() OVER (PARTITION BY doc ORDER BY page) AS page, md || CASE WHEN code THEN 'K' ELSE '' END || '|A' || k || '|' || left(p, 3) || '-' || right(p, 4) || '|' || tel AS row FROM r
+"""
+
+
+def scan_jobs(spark, sf):
+    """Recognition jobs of customers' files: a page for each order, some pages asked for, and single images."""
+    c = F.col("o_custkey")
+    orders = F.array_sort(F.collect_list("o_orderkey"))
+    files = table(spark, sf, "orders").groupBy(c.alias("doc")).agg(F.array_join(F.transform(orders, lambda k: text("order ", k)), "\f").alias("said"))
+    d = F.col("doc")
+    jobs = files.select(
+        "doc", (d % 4).cast("int").alias("ord"), F.when(d % 4 == 0, "image").otherwise("pdf").alias("kind"), F.when(d % 4 == 0, text("data:image/png;base64,AA", d)).alias("url"),
+        F.when(d % 4 != 0, F.encode("said", "utf-8")).alias("data"), F.when(d % 4 == 1, F.array(F.lit(2), F.lit(3), F.lit(99)).cast("array<bigint>")).alias("pages"), F.lit("Table Recognition:").alias("prompt"), text("f", d).alias("source"))
+    return page_jobs(jobs, ScannedPages()).select("doc", F.col("ord").cast("long").alias("ord"), F.col("page").cast("long").alias("page"), "url", "source")
+
+
+_SCAN_JOBS_SQL = """
+WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders)
+SELECT doc, CAST(doc % 4 AS BIGINT) AS ord, page, CASE WHEN doc % 4 = 0 THEN 'data:image/png;base64,AA' || doc ELSE 'data:image/png;base64,' || to_base64(encode('order ' || k)) END AS url, 'f' || doc AS source
+FROM o WHERE CASE WHEN doc % 4 = 0 THEN page = 1 WHEN doc % 4 = 1 AND c >= 2 THEN page IN (2, 3) ELSE page <= 20 END
+"""
+
 ALL = {
+    "result_workbook": (result_workbook, _BOOK_SQL), "pages_to_rows": (pages_to_rows, _PAGES_SQL), "scan_jobs": (scan_jobs, _SCAN_JOBS_SQL),
     "format_flagship": (format_flagship, _FLAGSHIP_SQL), "audit_issues": (audit_issues, _ISSUES_SQL), "issue_counts": (issue_counts, _COUNTS_SQL), "result_markdown": (result_markdown, _RESULT_SQL),
     "issue_list": (issue_list, _LIST_SQL), "template_rows": (spread_rows, _SPREAD_SQL), "rule_reshape": (rule_reshape, _RULE_SQL), "service_answers": (answers, _ANSWERS_SQL), "usage_totals": (usage_totals, _USAGE_SQL),
-    "stream_lines": (stream_lines, _LINES_SQL), "stream_cut": (stream_cut, None), "stream_answer": (stream_answer, _STREAM_SQL), "full_answer": (full_answer, _FULL_SQL), "downloads": (downloads, _DOWNLOAD_SQL),
+    "stream_lines": (stream_lines, _LINES_SQL), "stream_cut": (stream_cut, _CUT_SQL), "stream_answer": (stream_answer, _STREAM_SQL), "full_answer": (full_answer, _FULL_SQL), "downloads": (downloads, _DOWNLOAD_SQL),
     "progress_lines": (progress, _PROGRESS_SQL), "newest_entries": (newest_entries, _NEWEST_SQL), "xlsx_roundtrip": (xlsx_roundtrip, _XLSX_SQL),
 }

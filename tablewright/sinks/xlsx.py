@@ -176,6 +176,15 @@ def write_sheets(target, sheets: list[Sheet]) -> None:
                      + "".join(f'<v:shape type="#_x0000_t202" style="position:absolute;visibility:hidden;width:200pt;height:60pt"><x:ClientData ObjectType="Note"><x:Row>{r}</x:Row><x:Column>{c}</x:Column></x:ClientData></v:shape>' for r, c in sorted(s.comments)) + "</xml>")
 
 
+def read_notes(path, sheet: int = 1) -> dict[str, str]:
+    """Comments of a sheet (from 1) by their cell: for checks."""
+    import xml.etree.ElementTree as ET
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as z:
+        name = f"xl/comments{sheet}.xml"
+        return {c.get("ref"): "".join(c.itertext()) for c in ET.fromstring(z.read(name)).iter(f"{ns}comment")} if name in z.namelist() else {}
+
+
 def read_values(path) -> dict[str, list[list[str]]]:
     """Sheets by title, with all values as text: for checks."""
     import xml.etree.ElementTree as ET
@@ -196,7 +205,9 @@ class XlsxSink(DataSource):
 
     The frame has ``name`` and ``sheets`` (array of struct<title, grid, merges,
     header>, and perhaps header_rows, the rows of ``tables.header_rows``; without
-    them, header tells whether the first row is one). Workbooks go to the folder,
+    them, header tells whether the first row is one). With ``result`` (a struct
+    of columns, rows and issues, as of ``report.workbooks``) a workbook begins with
+    the result's sheets, and ``sheets`` are the originals. Workbooks go to the folder,
     which all executors must share. Names that are equal once made safe for files
     are an error, as one workbook would stand for all of them.
     """
@@ -230,7 +241,10 @@ class _XlsxWriter(DataSourceWriter):
         for row in rows:
             sheets = [
                 table_sheet(s["title"], s["grid"], [m.asDict() if hasattr(m, "asDict") else m for m in s["merges"] or []], _header_rows(s))
-                for s in row["sheets"]]
+                for s in row["sheets"] or []]
+            if "result" in row and row["result"] is not None:
+                result = row["result"]
+                sheets = result_sheets(result["columns"], result["rows"], result["issues"], sheets)
             buffer = io.BytesIO()
             write_sheets(buffer, sheets)
             name = safe_name(row["name"]) + ".xlsx"

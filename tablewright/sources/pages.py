@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 
 from tablewright.config import Settings
 from tablewright.operators.pages import selected_pages
+from tablewright.operators.requests import to_data_url
 
 PAGES = "page int, page_count int, text string, width double, height double, boxes array<struct<x0:double,y0:double,x1:double,y1:double>>, png binary"
 
@@ -102,6 +103,20 @@ def _counter(reader: PageReader, keep: list[str], data: str):
     return run
 
 
+def page_jobs(jobs: DataFrame, reader: PageReader, *, key: str = "doc", settings: Settings = Settings()) -> DataFrame:
+    """(key, ord, page, url, prompt, source): the images of ``requests.recognition_jobs``, PDFs page by page.
+
+    A PDF's pages are those asked for that exist, else the first ones; each is
+    an image of its own. Images that came as such have page 1. Their order in a
+    request is that of ord and page.
+    """
+    columns = [key, "ord", "page", "url", "prompt", "source"]
+    images = jobs.where(F.col("kind") == "image").withColumn("page", F.lit(1))
+    files = jobs.where(F.col("kind") == "pdf").select(key, "ord", "data", "pages", "prompt", "source")
+    pages = read_pages(files, reader, asked="pages", images=True, settings=settings)
+    return images.select(columns).unionByName(pages.withColumn("url", to_data_url(F.lit("image/png"), F.col("png"))).select(columns))
+
+
 class PageSource(DataSource):
     """spark.read.format("pages").option("files", json list of paths): a row for each page.
 
