@@ -13,7 +13,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 #: A table as text; one inside another ends at the inner end tag.
 TABLE_PATTERN = r"(?is)<table\b.*?</table>"
-_TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: A cell without attributes and tags inside, as most are; else a comment or a tag.
+_TAG = re.compile(r"<t([dh])>([^<]*)</t\1>|<!--.*?-->|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _BLANKS = re.compile(r"[ \t]+")
 MOST_SPAN = 100
@@ -43,15 +44,21 @@ def read_cells(markup: str) -> list[list[dict]]:
     said: list[str] = []
     at = 0
     for tag in _TAG.finditer(markup):
+        if tag[1]:
+            if not rows:
+                rows.append([])
+            rows[-1].append({"text": _BLANKS.sub(" ", html.unescape(tag[2])).strip(), "colspan": 1, "rowspan": 1, "header": tag[1] == "h"})
+            cell = None
+            continue
         if cell is not None:
             said.append(html.unescape(markup[at: tag.start()]))
         at = tag.end()
-        name = (tag[2] or "").lower()
-        if name == "tr" and not tag[1]:
+        name = (tag[4] or "").lower()
+        if name == "tr" and not tag[3]:
             rows.append([])
         elif name in ("td", "th"):
-            if not tag[1]:
-                spans = attributes(tag[3])
+            if not tag[3]:
+                spans = attributes(tag[5])
                 cell = {"colspan": span(spans.get("colspan")), "rowspan": span(spans.get("rowspan")), "header": name == "th"}
                 said = []
                 if not rows:
@@ -59,7 +66,7 @@ def read_cells(markup: str) -> list[list[dict]]:
             elif cell is not None:
                 rows[-1].append({"text": _BLANKS.sub(" ", "".join(said)).strip(), **cell})
                 cell = None
-        elif name == "br" and not tag[1] and cell is not None:
+        elif name == "br" and not tag[3] and cell is not None:
             said.append("\n")
     return rows
 
@@ -70,6 +77,10 @@ def lay_out(rows: list[list[dict]]) -> dict:
     Cells go to the next free place of their row; a block overwrites what it
     covers, shows its text at its first place, and may reach below the last row.
     """
+    if not any(cell["rowspan"] > 1 or cell["colspan"] > 1 for row in rows or [] for cell in row):
+        last = max((r for r, row in enumerate(rows or [], 1) if row), default=0)
+        width = max(map(len, rows[:last]), default=0) if last else 0
+        return {"grid": [[cell["text"] for cell in row] + [""] * (width - len(row)) for row in rows[:last]] if last else [], "merges": []}
     canvas: list[dict[int, str]] = []
     merges = []
     for r, row in enumerate(rows or []):
@@ -95,7 +106,8 @@ def lay_out(rows: list[list[dict]]) -> dict:
 _CELL = pa.struct([("text", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("header", pa.bool_())])
 _ROWS = pa.list_(pa.list_(_CELL))
 _GRID = pa.struct([("grid", pa.list_(pa.list_(pa.string()))), ("merges", pa.list_(pa.struct([(k, pa.int32()) for k in ("r1", "c1", "r2", "c2")])))])
-_TABLE_TYPE, _GRID_TYPE = from_arrow_type(_ROWS), from_arrow_type(_GRID)
+_READ = pa.struct([("rows", _ROWS), *_GRID])
+_TABLE_TYPE, _GRID_TYPE, _READ_TYPE = from_arrow_type(_ROWS), from_arrow_type(_GRID), from_arrow_type(_READ)
 
 
 @F.arrow_udf(_TABLE_TYPE)
@@ -108,6 +120,13 @@ def table_grid(rows: pa.Array) -> pa.Array:
     return pa.array([lay_out(r) for r in rows.to_pylist()], _GRID)
 
 
+@F.arrow_udf(_READ_TYPE)
+def read_table(markup: pa.Array) -> pa.Array:
+    """Rows (null without any), grid and merges in one pass, as of ``parse_table`` and ``table_grid``."""
+    read = [None if m is None else read_cells(m) or None for m in markup.to_pylist()]
+    return pa.array([{"rows": rows, **lay_out(rows)} for rows in read], _READ)
+
+
 def table_texts(text: Column) -> Column:
     """All tables of a text, as written."""
     return F.regexp_extract_all(text, F.lit(TABLE_PATTERN), F.lit(0))

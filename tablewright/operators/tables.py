@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.config import Settings
-from tablewright.functions.cells import TABLE_PATTERN, grid_markdown, parse_table, table_grid, table_texts, unescape_grid
+from tablewright.functions.cells import TABLE_PATTERN, grid_markdown, read_table, table_texts, unescape_grid
 from tablewright.functions.text import strip
 from tablewright.operators.headers import infer_headers
 
@@ -18,8 +18,7 @@ def extract_tables(texts: DataFrame, keys: list[str], text: str = "text") -> Dat
     without cells counts). Tables without any row have null rows.
     """
     found = texts.select(*keys, F.posexplode(table_texts(F.col(text))).alias("table_no", "markup"))
-    found = found.withColumn("rows", parse_table("markup"))
-    found = found.withColumn("rows", F.when(F.size("rows") > 0, F.col("rows"))).withColumn("laid", table_grid("rows"))
+    found = found.withColumn("laid", read_table("markup")).withColumn("rows", F.col("laid.rows"))
     return found.select(*keys, "table_no", "markup", "rows", F.col("laid.grid").alias("grid"), F.col("laid.merges").alias("merges"), header_row(F.col("rows")).alias("header"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from tablewright.config import NOTES
 from tablewright.operators import report
@@ -20,7 +22,7 @@ from tablewright.operators.reshape import RuleReshaper, last_answers, parse_answ
 from tablewright.operators.tables import extract_tables, row_estimate
 from tablewright.plans.inputs import joined, pad, table, text
 from tablewright.sinks.exports import expired, may_download
-from tablewright.sinks.xlsx import XlsxSink, read_notes, read_values
+from tablewright.sinks.xlsx import BOOKS_AT_ONCE, XlsxSink, read_notes, read_values, saved
 from tablewright.sources.pages import TextPages, page_jobs, read_pages
 from tablewright.streaming.recognition import cut_streams, sse_deltas
 
@@ -289,15 +291,44 @@ def newest_entries(spark, sf):
 _NEWEST_SQL = "SELECT event_id AS key, value AS used FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 64"
 
 
+#: Folders that workbooks are spread over.
+FOLDERS = 256
+
+
 def _written(spark, books):
-    """Files of workbooks that the sink wrote to the shared folder."""
+    """(path): the workbooks that the sink wrote to the shared folder.
+
+    Tasks list the folders and open the files: the file source would look up every
+    path on the driver and again in a task of its own, and deal out 32 small files
+    to a task.
+    """
     spark.dataSource.register(XlsxSink)
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = os.path.join((shared or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:"), f"xlsx-{uuid.uuid4().hex}")
-    books.write.format("xlsx").mode("append").save(folder)
-    return spark.read.format("binaryFile").load(f"file:{folder}/*.xlsx")
+    books.write.format("xlsx").option("folders", FOLDERS).mode("append").save(folder)
+    return saved(spark, folder, FOLDERS)
+
+
+def _read_back(files, doc, read, schema):
+    """(doc, what ``read`` makes of each workbook): ``files`` of ``_written``, ``doc`` a column of the path.
+
+    Some workbooks at a time, as one may be large.
+    """
+    files = files.select(doc.alias("doc"), "path")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BOOKS_AT_ONCE):
+                part = batch.slice(at, BOOKS_AT_ONCE)
+                rows = []
+                for path in part.column(1).to_pylist():
+                    with zipfile.ZipFile(path) as z:
+                        rows.append(read(z))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows), schema))], ["doc", *schema.names])
+
+    return files.mapInArrow(run, StructType([files.schema["doc"], *from_arrow_schema(schema)]))
 
 
 def xlsx_roundtrip(spark, sf):
@@ -308,13 +339,12 @@ def xlsx_roundtrip(spark, sf):
     sheet = F.struct(F.lit("nations").alias("title"), grid.alias("grid"), F.array().cast("array<struct<r1:int,c1:int,r2:int,c2:int>>").alias("merges"), F.lit(True).alias("header"))
     files = _written(spark, g.select(text("region ", F.col("doc")).alias("name"), F.array(sheet).alias("sheets")))
 
-    def read(batches):
-        for batch in batches:
-            sheets = [read_values(io.BytesIO(b))["nations"] for b in batch.column(1).to_pylist()]
-            cells = ["|".join(",".join(row) for row in sheet) for sheet in sheets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) - 1 for s in sheets], pa.int64()), pa.array(cells, pa.string())], ["doc", "rows", "cells"])
+    def read(z):
+        sheet = read_values(z)["nations"]
+        return len(sheet) - 1, "|".join(",".join(row) for row in sheet)
 
-    return files.select(F.regexp_extract("path", r"region(?:%20| |_)(\d+)\.xlsx$", 1).cast("int").alias("doc"), "content").mapInArrow(read, "doc int, rows long, cells string")
+    doc = F.regexp_extract("path", r"region(?:%20| |_)(\d+)\.xlsx$", 1).cast("int")
+    return _read_back(files, doc, read, pa.schema([("rows", pa.int64()), ("cells", pa.string())]))
 
 
 _XLSX_SQL = "SELECT n_regionkey AS doc, count(*) AS rows, 'key,name|' || string_agg(n_nationkey || ',' || n_name, '|' ORDER BY n_nationkey) AS cells FROM nation GROUP BY 1"
@@ -327,20 +357,16 @@ def result_workbook(spark, sf):
     books = report.workbooks(_audited(spark, sf, tables), tables)
     files = _written(spark, books.select(text("d", F.col("doc")).alias("name"), "result", "sheets"))
 
-    def read(batches):
-        for batch in batches:
-            out = []
-            for data in batch.column(1).to_pylist():
-                sheets, notes = read_values(io.BytesIO(data)), read_notes(io.BytesIO(data))
-                main, listed, *originals = sheets.values()
-                out.append((
-                    "\n".join("|".join(row) for row in main), "\n".join(",".join(row[:3]) for row in listed),
-                    ",".join(f"{at}:{note.split(':')[0]}" for at, note in sorted(notes.items(), key=lambda n: (int(n[0][1:]), n[0][0]))),
-                    ",".join(list(sheets)[2:]), sum(len(rows) for rows in originals)))
-            columns = [pa.array(c, pa.int64() if k == 4 else pa.string()) for k, c in enumerate(zip(*out))] if out else [pa.array([], t) for t in [pa.string()] * 4 + [pa.int64()]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "main", "listed", "notes", "originals", "original_rows"])
-
-    return files.select(F.regexp_extract("path", r"d(\d+)\.xlsx$", 1).cast("long").alias("doc"), "content").mapInArrow(read, "doc long, main string, listed string, notes string, originals string, original_rows long")
+    def read(z):
+        sheets, notes = read_values(z), read_notes(z)
+        main, listed, *originals = sheets.values()
+        return (
+            "\n".join("|".join(row) for row in main), "\n".join(",".join(row[:3]) for row in listed),
+            ",".join(f"{at}:{note.split(':')[0]}" for at, note in sorted(notes.items(), key=lambda n: (int(n[0][1:]), n[0][0]))),
+            ",".join(list(sheets)[2:]), sum(len(rows) for rows in originals))
+
+    doc = F.regexp_extract("path", r"d(\d+)\.xlsx$", 1).cast("long")
+    return _read_back(files, doc, read, pa.schema([*((name, pa.string()) for name in ("main", "listed", "notes", "originals")), ("original_rows", pa.int64())]))
 
 
 _BOOK_SQL = _ROWS + "," + _ISSUES + f""",

@@ -192,3 +192,31 @@ def test_sink_header_rows_and_names(spark, tmp_path):
     assert style["A1"] == style["A3"] != style["A2"]
     with pytest.raises(Exception, match="stand for several workbooks"):
         spark.createDataFrame([("a/b", [sheet]), ("a:b", [sheet])], SHEETS).write.format("xlsx").mode("append").save(str(tmp_path / "clash"))
+
+
+def test_sink_folders(spark, tmp_path):
+    spark.dataSource.register(xlsx.XlsxSink)
+    sheet = ("t", [["a"], ["1"]], [], True, [0])
+    made = spark.createDataFrame([(f"d{k}", [sheet]) for k in range(20)], SHEETS)
+    made.write.format("xlsx").option("folders", 8).mode("append").save(str(tmp_path / "many"))
+    paths = [r.path for r in xlsx.saved(spark, str(tmp_path / "many"), 8).collect()]
+    assert sorted(os.path.basename(p) for p in paths) == sorted(f"d{k}.xlsx" for k in range(20)) and len({os.path.dirname(p) for p in paths}) > 1
+    assert xlsx.read_values(paths[0]) == {"t": [["a"], ["1"]]}
+    made.limit(0).write.format("xlsx").option("folders", 8).mode("append").save(str(tmp_path / "none"))
+    assert xlsx.saved(spark, str(tmp_path / "none"), 8).count() == 0
+    with pytest.raises(Exception, match="stand for several workbooks"):
+        made.unionByName(made.limit(1)).write.format("xlsx").option("folders", 8).mode("append").save(str(tmp_path / "clash"))
+
+
+def test_workbooks_take_few_tasks(spark):
+    from tablewright.plans import audits
+    sheet = ("t", [["a"], ["1"]], [], True, [0])
+    books = spark.createDataFrame([(f"d{k}", [sheet]) for k in range(300)], SHEETS).coalesce(1)
+    sc = spark.sparkContext
+    sc.setJobGroup("workbooks", "workbooks")
+    try:
+        paths = {r.path for r in audits._written(spark, books).select("path").collect()}
+        stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("workbooks") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(paths) == 300 and sum(s.numTasks for s in stages if s) < 100  # not a task for each path

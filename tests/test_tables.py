@@ -132,3 +132,17 @@ def test_an_expired_export_beside_other_files_stops_pruning(tmp_path):
     with pytest.raises(OSError):
         exports.prune(s, 1e12)
     assert len(exports.listing(s)) == 2
+
+
+def test_plain_cells_read_like_others():
+    plain = "<table><tr><th>a</th></tr><tr><td> x  &amp; y\n</td><td></td></tr><tr></tr></table>"
+    with_attributes = plain.replace("<td>", "<td id='1'>").replace("<th>", "<TH>")
+    assert read_cells(plain) == read_cells(with_attributes) and lay_out(read_cells(plain)) == {"grid": [["a", ""], ["x & y", ""]], "merges": []}
+    assert texts(read_cells("<td>lost<td>kept</td><td>b</th><td>c</td>")) == [["kept", "b", "c"]]
+
+
+def test_tables_are_read_in_one_pass(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><td colspan=2>a</td></tr></table> and <table></table>")], "doc int, text string")
+    found = extract_tables(pages, ["doc"])
+    assert [(r.table_no, r.rows is None, r.grid, len(r.merges)) for r in found.orderBy("table_no").collect()] == [(0, False, [["a", ""]], 1), (1, True, [], 0)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
