@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -851,3 +852,39 @@ def test_density_sums_are_those_of_the_formula():
         assert math.isclose(n.density, density(n), abs_tol=1e-9) and math.isclose(n.total, sum(density(x) for x in below), abs_tol=1e-9)
         stack += below
     assert html_text._best(body).tag == "div"
+
+
+# ------------------------------------------------------------------ tables between steps
+
+def test_few_rows_are_few_files(spark):
+    """Each file makes an executor fork; tables of known, few rows have a file for each core, not one for each partition."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(0, 300, 2):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 60)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words, "more"]))]
+    asked = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in asked}
+    there = Path(spark.conf.get("spark.checkpoint.dir"))
+    old = set(there.rglob("part-*.parquet"))
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id for r in jaccard_join.first_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert got == set(range(0, 300, 2))
+    files = Counter(p.parent.name.rsplit("-", 1)[0] for p in set(there.rglob("part-*.parquet")) - old)
+    assert {"classes", "hubs", "candidates", "linked", "table"} <= set(files)
+    # Two tables are called members; links are as many tasks as their sets of words ask for.
+    assert all(n <= 4 * (1 + (label == "members")) for label, n in files.items() if label not in ("described", "links")), files
+
+
+def test_workers_give_back_what_they_freed(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "_give_back", lambda: calls.append(1))
+    assert list(common.trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and calls == [1]
+    assert common.trimmed_group(lambda table: table + 1)(1) == 2 and calls == [1, 1]
+    monkeypatch.undo()
+    common._give_back()
